@@ -1,11 +1,60 @@
-"""Corpus pipeline: STAGES is filled in as its operators are."""
+"""Corpus pipeline over `documents`: reject toxic documents, drop exact and near duplicates, pack the rest.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.llm.common import c, saved
+from lodestone.llm.crf import labelled_rows, toxicity
+from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.minhash import near_classes
+from lodestone.llm.packing import pack_documents
+
+REJECT_FROM = 0.7
+
+
+def reject_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below REJECT_FROM. It learns from the labelled rows of docs."""
+    scored = toxicity(docs, labelled_rows(spark, sf_dir, docs), with_spans=False)
+    return scored.where(F.col("score") < REJECT_FROM).select(*[c(n) for n in docs.columns])
+
+
+def drop_exact_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the smallest doc_id."""
+    return exact_dedup(docs).where("kept").select(*[c(n) for n in docs.columns])
+
+
+def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the row with the smallest doc_id."""
+    return near_classes(docs).where("kept").select(*[c(n) for n in docs.columns])
+
+
+def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their sequence and offset."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("packing", pack_sequences),
+]
+
+#: Scores, samples and packing are not expressible in SQL; tests/llm/test_pipeline.py checks the rows by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what passes between stages is a written table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = saved(docs, f"stage-{name}")
     return docs

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -43,7 +46,17 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows: documents may be long, and a batch is held in memory whole."""
+    """For what runs Python on executors: Arrow batches of few rows (documents may be long, and a batch is held
+    in memory whole), and this package on the workers' path."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        package = Path(__file__).parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone_code.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))  # Spark serves it to all executors
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
