@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import core, tpch
+
+FAMILIES = (core, tpch)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for family in FAMILIES for name, run in family.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}

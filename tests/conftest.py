@@ -1,3 +1,4 @@
+import logging
 import sys
 from pathlib import Path
 
@@ -12,6 +13,7 @@ def spark():
 
     s = create_session("local[8]", {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g"})
     s.sparkContext.setLogLevel("ERROR")
+    logging.getLogger("SQLQueryContextLogger").setLevel(logging.CRITICAL + 1)  # tests raise errors on purpose
     yield s
     s.stop()
 
