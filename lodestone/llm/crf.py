@@ -20,14 +20,15 @@ from .common import c, small_batches
 from .tokens import slices
 
 #: The bound of the training sample: documents of each label, and characters of all.
-TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 1500, 2500, 16_000_000
+TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 900, 1300, 6_000_000
 HASHED = 1 << 18
-#: A feature marks tokens if at least so many toxic documents have it, at odds of at least e to this power.
-LEAST_DOCS, LEAST_ODDS = 3, 2.5
+#: A feature marks tokens if at least so many toxic documents, and this share of them, have it (copies of one
+#: document share rare words), at odds of at least e to this power.
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 4, 0.02, 3.5
 STEPS, RATE, DECAY = 60, 0.25, 1e-6
 LANES = 256
 BATCH_TOKENS = 1 << 16
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 
 WORD = re.compile(r"\w+")
 
@@ -133,32 +134,25 @@ def summarise(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def token_labels(docs: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
-    """1 for the tokens that mark a toxic document."""
+def token_labels(docs: list[np.ndarray], names: list[str], toxic: np.ndarray) -> list[np.ndarray]:
+    """1 for the tokens (numbers of names) that mark a toxic document."""
     inside, outside = Counter(), Counter()
-    of: dict[str, list[str]] = {}
+    of = [features(w) for w in names]
     for words, y in zip(docs, toxic):
-        own = set()
-        for w in set(words):
-            if w not in of:
-                of[w] = features(w)
-            own.update(of[w])
-        (inside if y else outside).update(own)
+        (inside if y else outside).update({f for w in np.unique(words).tolist() for f in of[w]})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    marks = {f for f, k in inside.items() if k >= LEAST_DOCS and np.log((k + 0.5) / (n1 + 1)) - np.log((outside[f] + 0.5) / (n0 + 1)) >= LEAST_ODDS}
-    marked = {w: any(f in marks for f in fs) for w, fs in of.items()}
-    return [np.array([y and marked[w] for w in words], dtype=float) for words, y in zip(docs, toxic)]
+    marks = {f for f, k in inside.items() if k >= max(LEAST_DOCS, LEAST_SHARE * n1) and np.log((k + 0.5) / (n1 + 1)) - np.log((outside[f] + 0.5) / (n0 + 1)) >= LEAST_ODDS}
+    marked = np.array([any(f in marks for f in fs) for fs in of], dtype=float)
+    return [marked[words] * y for words, y in zip(docs, toxic)]
 
 
 def train(texts: list[str], toxic: list[int]) -> Model:
     """Fit the field on token labels and the logistic layer on document labels, by Adam on whole batches."""
     y = np.array(toxic, dtype=float)
-    docs = [WORD.findall(t.lower()) for t in texts]
-    gold = token_labels(docs, y)
     names: dict[str, int] = {}
-    ids = [np.array([names.setdefault(w, len(names)) for w in words], dtype=np.int64) for words in docs]
+    ids = [np.array([names.setdefault(w, len(names)) for w in WORD.findall(t.lower())], dtype=np.int64) for t in texts]
     flat = np.concatenate([*ids, np.zeros(0, np.int64)])
-    truth = np.concatenate([*gold, np.zeros(0)])
+    truth = np.concatenate([*token_labels(ids, list(names), y), np.zeros(0)])
     bounds = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int64)
     first = np.zeros(len(flat), dtype=bool)
     first[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
@@ -281,7 +275,7 @@ def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
                 cols.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.toDF(*[f"_{k}" for k in range(len(source.columns))]).mapInArrow(run, T.StructType(fields))
 
 
 def found_spans(text: str, p: np.ndarray) -> list[dict]:
