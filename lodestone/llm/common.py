@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _own_root: dict[str, str] = {}
 _shipped: set[str] = set()
+_memories: list[dict] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -60,6 +61,16 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def claim(cache: dict | None = None) -> None:
+    """Called by a task before it uses its module's memory of words (or one of its own: None). A worker that has
+    served other operators before drops theirs, so that it holds one at a time."""
+    for other in _memories:
+        if other is not cache:
+            other.clear()
+    if cache is not None and not any(other is cache for other in _memories):
+        _memories.append(cache)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have, in any letter case."""
     taken = {c.lower() for c in df.columns}

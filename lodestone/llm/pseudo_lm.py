@@ -10,13 +10,15 @@ conditional log-probabilities of all tokens score a document."""
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import c, partitions, small_batches
+from .common import c, claim, partitions, small_batches
 from .tokens import slices
 
 WINDOW = 2
@@ -28,37 +30,32 @@ STRIDE, BATCH, RATE = 16, 512, 0.005
 #: The first weights come from so many documents.
 FIRST_DOCS = 200
 CHUNK = 1 << 14
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 EDGE = 0  # the symbol beyond a document's ends
 
 WORD = re.compile(r"\w+|[^\w\s]")
 PER = SYMBOLS // CLASSES
 
 
-class Vocabulary:
-    """Word -> symbol: 0 is the edge, then words by falling count, then endings."""
+class Known(dict):
+    """Word -> symbol: 0 is the edge, then words by falling count, then symbols for the endings of others."""
 
-    def __init__(self, words: list[str]):
-        self.own = {w: 1 + k for k, w in enumerate(words[: SYMBOLS - ENDINGS - 1])}
-        self.first_ending = SYMBOLS - ENDINGS
-        self.known: dict[str, int] = dict(self.own)
+    def __missing__(self, word: str) -> int:
+        if len(self) > REMEMBERED:
+            own = [(w, s) for w, s in self.items() if s < SYMBOLS - ENDINGS]
+            self.clear()
+            self.update(own)
+        s = self[word] = SYMBOLS - ENDINGS + zlib.crc32(word[-2:].encode("utf-8", "replace")) % ENDINGS
+        return s
 
-    def _learn(self, word: str) -> int:
-        import zlib
 
-        if len(self.known) > REMEMBERED:
-            self.known = dict(self.own)
-        s = self.known[word] = self.first_ending + zlib.crc32(word[-2:].encode("utf-8", "replace")) % ENDINGS
-        return s
+class Vocabulary:
+    def __init__(self, words: list[str]):
+        self.known = Known((w, 1 + k) for k, w in enumerate(words[: SYMBOLS - ENDINGS - 1]))
 
     def symbols(self, text: str) -> np.ndarray:
         words = WORD.findall(text.lower())
-        get = self.known.get
-        out = [get(w, -1) for w in words]
-        if -1 in out:
-            known, learn = self.known, self._learn
-            out = [s if s >= 0 else (known[w] if w in known else learn(w)) for w, s in zip(words, out)]
-        return np.array(out, dtype=np.int32)
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int32, count=len(words))
 
 
 def contexts(symbols: np.ndarray) -> np.ndarray:
@@ -93,17 +90,31 @@ class Net:
         h = self.hidden(ctx)
         cls, word = target // PER, target % PER
         n = np.arange(len(target))
-        z = h @ self.by_class[:-1] + self.by_class[-1]
-        z -= z.max(axis=1, keepdims=True)
-        out = z[n, cls] - np.log(np.exp(z).sum(axis=1))
+        ones = np.ones(max(CLASSES, PER), np.float32)
+        # Hidden values are within 1, so no logit is beyond this; exp() needs no shift below it.
+        safe = max(np.abs(self.by_class).sum(axis=0).max(), np.abs(self.within).sum(axis=1).max()) < 80
+
+        def chosen(z, k):
+            if not safe:
+                z -= z.max(axis=1, keepdims=True)
+            own = z[n[: len(z)], k]
+            np.exp(z, out=z)
+            return own - np.log(z @ ones[: z.shape[1]])
+
+        z = h @ self.by_class[:-1]
+        z += self.by_class[-1]
+        out = chosen(z, cls)
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        h, word = h[order], word[order]
+        second = np.empty(len(target), np.float32)
         for k in range(CLASSES):
-            own = order[edges[k] : edges[k + 1]]
-            if len(own):
-                z = h[own] @ self.within[k, :-1] + self.within[k, -1]
-                z -= z.max(axis=1, keepdims=True)
-                out[own] += z[np.arange(len(own)), word[own]] - np.log(np.exp(z).sum(axis=1))
+            a, b = edges[k], edges[k + 1]
+            if b > a:
+                z = h[a:b] @ self.within[k, :-1]
+                z += self.within[k, -1]
+                second[a:b] = chosen(z, word[a:b])
+        out[order] += second
         return out
 
     def train(self, ctx: np.ndarray, target: np.ndarray, state: dict) -> None:
@@ -151,8 +162,23 @@ class Net:
 
 def top_words(texts: DataFrame) -> list[str]:
     """The most frequent words of all documents, by count and then word; their number is fixed."""
-    words = texts.select(F.explode(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]', 0)")).alias("word"))
-    rows = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(SYMBOLS).collect()
+
+    def count(batches):
+        import pyarrow as pa
+
+        seen: Counter[str] = Counter()
+        claim()
+        row = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        for batch in batches:
+            for _, some in slices(batch.column(0)):
+                for text in some:
+                    seen.update(WORD.findall(text.lower()))
+                if len(seen) > REMEMBERED:
+                    yield row()
+                    seen.clear()
+        yield row()
+
+    rows = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(SYMBOLS).collect()
     return [r.word for r in rows]
 
 
@@ -170,6 +196,7 @@ def train_on(texts: DataFrame, words: list[str], start: np.ndarray) -> np.ndarra
         vocabulary, net, state, seen = Vocabulary(words), Net(start), {}, 0
         ctx, target, have = [], [], 0
         rng = np.random.default_rng(11)
+        claim()
 
         def learn():
             nonlocal ctx, target, have, seen
@@ -267,6 +294,7 @@ def pseudo_likelihood(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         words, flat = shared.value
         vocabulary, net = Vocabulary(words), Net(flat)
+        claim()
         for batch in batches:
             last = batch.num_columns - 1
             for at, some in slices(batch.column(last)):
@@ -284,7 +312,7 @@ def pseudo_likelihood(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     names=[f.name for f in fields],
                 )
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.toDF(*[f"_{k}" for k in range(len(source.columns))]).mapInArrow(run, T.StructType(fields))
 
 
 def op4_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:
