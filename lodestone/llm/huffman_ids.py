@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import c, partitions, row_hash, saved, scratch, small_batches
+from .common import c, discard, partitions, row_hash, saved, scratch, small_batches
 from .tokens import encoder, slices
 
 MAGIC = b"HID1"
@@ -168,89 +168,112 @@ def get(path: str) -> bytes:
         return f.read()
 
 
-def count_ids(docs: DataFrame, tokenizer: str, text_col: str) -> np.ndarray:
+def count_ids(coded: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs in all documents; a number for each id of the vocabulary comes to the driver."""
 
     def count(batches):
         import pyarrow as pa
 
-        enc = encoder(tokenizer)
-        total, docs_seen = np.zeros(enc.tok.get_vocab_size() + 1, dtype=np.int64), 0
+        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for _, texts in slices(batch.column(0)):
-                docs_seen += len(texts)
-                ids = np.frombuffer(b"".join(map(enc.encode, texts)), "<u4")
-                if len(ids):
-                    got = np.bincount(ids)
-                    if len(got) > len(total):
-                        total = np.r_[total, np.zeros(len(got) - len(total), np.int64)]
-                    total[: len(got)] += got
-        total[END_ID] += docs_seen
+            for _, raw in slices(batch.column(0)):
+                got = np.bincount(np.frombuffer(b"".join(raw), kind))
+                if len(got) > len(total):
+                    total = np.r_[total, np.zeros(len(got) - len(total), np.int64)]
+                total[: len(got)] += got
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    rows = docs.select(F.coalesce(c(text_col), F.lit("")).alias("text")).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = coded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in rows), default=0) + 1, dtype=np.int64)
     for r in rows:
         counts[r.id] = r.n
     return counts
 
 
+def ordered_ids(docs: DataFrame, tokenizer: str, kind: str, path: str) -> DataFrame:
+    """part, at (the row's place in its part), id, ids of all documents in ascending order of id over the parts: a
+    written table, so that texts are encoded once though codes need the counts of all ids first."""
+    spark = docs.sparkSession
+    source = docs.withColumn("tie", row_hash(docs)).repartitionByRange(partitions(spark), "id", "tie").sortWithinPartitions("id", "tie").select(F.spark_partition_id().alias("part"), "id", "text")
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), docs.schema["id"], T.StructField("ids", T.BinaryType())])
+
+    def encode(batches):
+        import pyarrow as pa
+
+        enc, seen = encoder(tokenizer).encode, 0
+        end = np.array([END_ID], dtype="<u4").tobytes()
+        for batch in batches:
+            for at, texts in slices(batch.column(2)):
+                raw = [x + end for x in enc(texts)]
+                if kind != "<u4":
+                    raw = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in raw]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(range(seen, seen + len(texts)), pa.int64()), batch.column(1).slice(at, len(texts)), pa.array(raw, pa.binary())], names=schema.names)
+                seen += len(texts)
+
+    source.mapInArrow(encode, schema).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of all documents, each followed by END_ID, in ascending order of id_col (nulls first, ties by
-    a hash of the row), to files below path, and return the manifest: file, part, seq, n_docs, n_ids, first_start.
+    a hash of the row), to files below path, and return the manifest: file, part, at, ids (of documents), n_ids, first_start.
 
     A null text counts as empty: END_ID alone. The manifest is written last; files that it does not name are
     left-overs of lost tasks."""
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(c(id_col).alias("id"), F.coalesce(c(text_col), F.lit("")).alias("text"))
-    lengths = code_lengths(count_ids(source, tokenizer, "text"))
+    kind = "<u2" if encoder(tokenizer).tok.get_vocab_size() <= 1 << 16 else "<u4"
+    ids_path = scratch(spark, "ordered-ids")
+    coded = ordered_ids(source, tokenizer, kind, ids_path)
+    lengths = code_lengths(count_ids(coded, kind))
     codes = canonical(lengths)
     buffer = io.BytesIO()
     np.savez_compressed(buffer, lengths=lengths)
     put_from_driver(spark, f"{path}/codes.npz", buffer.getvalue())
-    ordered = source.withColumn("tie", row_hash(source)).repartitionByRange(partitions(spark), "id", "tie").sortWithinPartitions("id", "tie").select(F.spark_partition_id().alias("part"), "id", "text")
 
     def write(batches):
         import pyarrow as pa
 
-        enc, held, sizes, doc_ids, seq, part, total = encoder(tokenizer), [], [], [], 0, 0, 0
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        held, sizes, doc_ids, total, part, begin, due = [], [], [], 0, None, 0, None
+        id_type = None
 
         def flush():
-            nonlocal held, sizes, doc_ids, seq, total
-            ids = np.frombuffer(b"".join(held), "<u4")
-            name = f"{path}/part-{part:06d}-{seq:05d}.hid"
+            nonlocal held, sizes, doc_ids, total
+            ids = np.frombuffer(b"".join(held), kind)
+            name = f"{path}/part-{part:06d}-{begin:012d}.hid"
             put(name, pack_file(ids, sizes, codes, lengths))
-            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids], pa.list_(id_type))], names=["file", "part", "seq", "n_docs", "n_ids", "ids"])
-            held, sizes, doc_ids, total, seq = [], [], [], 0, seq + 1
+            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([begin], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids], pa.list_(id_type))], names=["file", "part", "at", "n_ids", "ids"])
+            held, sizes, doc_ids, total = [], [], [], 0
             return row
 
         for batch in batches:
-            id_type = batch.column(1).type
-            part = batch.column(0)[0].as_py() if batch.num_rows else part
-            for at, texts in slices(batch.column(2)):
-                doc_ids += batch.column(1).slice(at, len(texts)).to_pylist()
-                for text in texts:
-                    raw = enc.encode(text) + end
-                    held.append(raw)
-                    sizes.append(len(raw) // 4)
-                    total += sizes[-1]
-                if total >= IDS_A_FILE:
+            id_type = batch.column(2).type
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            for p, at, ident, raw in rows:
+                if sizes and ((p, at) != due or total >= IDS_A_FILE):
                     yield flush()
+                if not sizes:
+                    part, begin = p, at
+                held.append(raw)
+                sizes.append(len(raw) // np.dtype(kind).itemsize)
+                doc_ids.append(ident)
+                total += sizes[-1]
+                due = (p, at + 1)
         if sizes:
             yield flush()
 
     id_type_ddl = source.schema["id"].dataType.simpleString()
-    manifest = saved(ordered.mapInArrow(write, f"file string, part int, seq int, n_docs long, n_ids long, ids array<{id_type_ddl}>"), "manifest", f"{path}/manifest")
+    manifest = saved(coded.mapInArrow(write, f"file string, part int, at long, n_ids long, ids array<{id_type_ddl}>"), "manifest", f"{path}/manifest")
+    discard(spark, ids_path)
     # Ids before each file: those of earlier parts (a number a part), then those before it in its own.
-    at, rows = 0, []
+    start, rows = 0, []
     for r in sorted(manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).collect(), key=lambda r: r["part"]):
-        rows.append((r["part"], at))
-        at += r["n"]
+        rows.append((r["part"], start))
+        start += r["n"]
     before = spark.createDataFrame(rows, "part int, part_start long")
-    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return manifest.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("first_start", F.col("part_start") + F.col("inside")).drop("inside", "part_start")
 
 

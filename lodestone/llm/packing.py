@@ -148,8 +148,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for k, text in enumerate(texts):
-                    raw = encode(text) + end
+                for k, raw in enumerate(encode(texts)):
+                    raw += end
                     n = len(raw) // 4
                     for p, s in enumerate(range(0, n, capacity)):
                         part = raw[4 * s : 4 * (s + capacity)]

@@ -1,26 +1,58 @@
 """Token ids by the tokenizers library, with each distinct pre-token encoded once a worker.
 
 Byte-pair encoders treat the matches of their split pattern apart, so the ids of a text are those of its
-matches, one after another. The matches are found by the same pattern, and their ids are remembered."""
+matches, one after another. The matches are found by the same pattern, and what the library gives for each is
+remembered."""
 
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 
 import numpy as np
 
-#: Pre-tokens that a worker remembers; beyond it the memory starts anew (about 250 bytes each).
-REMEMBERED = 800_000
+from .common import claim
+
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+
+#: Pre-tokens that a worker remembers; beyond it the memory starts anew (about 150 bytes each).
+WORDS = 1_000_000
 #: Fixed pattern of the library's byte-level splitting.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The Latin-1 characters of the classes L, N and white space, for a pattern of Python's own (and faster) engine.
+LATIN_1 = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"\p{N}": "0-9²³¹¼-¾", r"\s": "\t-\r \x85\xa0"}
 
 _encoders: dict[str, Encoder] = {}
 
 
+def latin_pattern(pattern: str) -> str:
+    """The pattern for Latin-1 text, written without classes. It may hold L, N and white space, within brackets or not."""
+    import re
+
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        m = re.match(r"\\p\{[LN]\}|\\[sS]", pattern[k:])
+        if m:
+            name = m[0]
+            if name == r"\S":
+                out.append(f"[^{LATIN_1[chr(92) + 's']}]")
+            else:
+                out.append(LATIN_1[name] if inside else f"[{LATIN_1[name]}]")
+            k += len(name)
+            continue
+        inside = (inside or pattern[k] == "[") and pattern[k] != "]"
+        out.append(pattern[k])
+        k += 1
+    return "".join(out)
+
+
 class Encoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit integers, without special tokens."""
+    """encode(texts) gives the ids of each as little-endian unsigned 32-bit integers, without special tokens."""
 
     def __init__(self, path: str):
+        import re
+
         import regex
         from tokenizers import Tokenizer
 
@@ -28,55 +60,60 @@ class Encoder:
         self.tok.encode_special_tokens = True  # their strings are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.find = self.plain = None
+        self.find = None
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         parts = pre.get("pretokenizers", [pre])
+        pattern = None
         if parts[-1].get("type") == "ByteLevel" and not parts[-1].get("add_prefix_space"):
             if len(parts) == 1 and parts[0].get("use_regex") and not norm:
-                self.find = regex.compile(BYTE_LEVEL).findall
+                pattern = BYTE_LEVEL
             elif len(parts) == 2 and parts[0].get("type") == "Split" and parts[0].get("invert") and parts[0].get("behavior") == "Removed" and not parts[1].get("use_regex"):
-                self.find = regex.compile(parts[0]["pattern"]["Regex"]).findall
+                pattern = parts[0]["pattern"]["Regex"]
         # For Latin-1 text, composing changes nothing, and lower case is by character.
         self.lower = norm is not None and [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.normalise = self.tok.normalizer.normalize_str if norm else None
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        for word, got in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
+        if pattern:
+            self.find = regex.compile(pattern).findall
+            self.find_latin = re.compile(latin_pattern(pattern)).findall
+        self.words: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        if self.find is None:
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if self.normalise:
-            if self.lower:
-                try:
-                    text.encode("latin-1")
-                    text = text.lower()
-                except UnicodeEncodeError:
-                    text = self.normalise(text)
-            else:
-                text = self.normalise(text)
-        words = self.find(text)
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
         try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            new = set(words)
-            if len(new) > REMEMBERED // 2:  # a text too varied to remember
-                return b"".join(np.array(self.tok.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words)
-            known = self.known
-            missing = [w for w in new if w not in known]
-            if len(known) + len(missing) > REMEMBERED:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.find(self.normalise(text) if self.normalise else text)
+        if self.lower:
+            return self.find_latin(text.lower())
+        return self.find(self.normalise(text)) if self.normalise else self.find_latin(text)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.find is None:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        known, out, late, missing = self.words, [], [], set()
+        for text in texts:
+            words = self.split(text)
+            try:
+                out.append(b"".join(map(known.__getitem__, words)))
+            except KeyError:
+                late.append((len(out), words))
+                out.append(b"")
+                missing.update(w for w in words if w not in known)
+        if late:
+            if len(known) + len(missing) > WORDS:
                 known.clear()
-                missing = list(new)
-            self._learn(missing)
-            return b"".join(map(known.__getitem__, words))
+                missing = {w for _, words in late for w in words}
+            new = list(missing)
+            for word, got in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+                known[word] = array("I", got.ids).tobytes() if LITTLE else np.array(got.ids, "<u4").tobytes()
+            for k, words in late:
+                out[k] = b"".join(map(known.__getitem__, words))
+        return out
 
 
 def encoder(path: str) -> Encoder:
     """One a worker and vocabulary file; the file must be at this path on every executor."""
+    claim(_encoders)
     if path not in _encoders:
         import os
 

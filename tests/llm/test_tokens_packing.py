@@ -39,7 +39,7 @@ TEXT = st.text(alphabet=st.one_of(st.characters(max_codepoint=0x17F, exclude_cat
 @settings(max_examples=300, deadline=None)
 @given(text=TEXT)
 def test_encoder_is_the_library(name, text):
-    assert np.frombuffer(ENCODERS[name].encode(text), "<u4").tolist() == library_ids(name, text)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ENCODERS[name].encode([text, "a" + text])] == [library_ids(name, text), library_ids(name, "a" + text)]
 
 
 @settings(max_examples=300, deadline=None)
