@@ -1,9 +1,11 @@
 """Byte-level BPE by a lazily determinised finite-state transducer.
 
 A prefix of the input may still be cut in several ways at its end: each hypothesis is a node of the token
-trie (the bytes since its last boundary), its last token, and the tokens not yet emitted. A state is the set
-of all hypotheses; reading a byte moves each along the trie, adds the boundary that has become possible, and
-emits the tokens that all hypotheses agree on. States and moves are made when first needed and kept.
+trie (the bytes since its last boundary) and its last token. A state is the set of all hypotheses; reading a
+byte moves each along the trie, adds the boundary that has become possible, and gives the token that ends
+there. States and moves are made when first needed and kept. These tokens, each pointing back by its length,
+hold every hypothesis; what all open hypotheses agree on is emitted, at the latest after a bounded number of
+bytes, and the rest at the end of the match.
 
 A boundary is possible after token t behind token l if merging the bytes of l and t by rank gives back
 (l, t): then exactly one cut of every prefix passes all tests, and it is the encoder's."""
@@ -17,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import c, small_batches
-from .tokens import slices
+from .common import c, claim, small_batches
+from .tokens import latin_pattern, slices
 
 #: States, remembered pair tests and remembered matches a worker; beyond each it starts anew.
-MOST_STATES, MOST_PAIRS, REMEMBERED = 200_000, 1_000_000, 800_000
+MOST_STATES, MOST_PAIRS, REMEMBERED = 150_000, 500_000, 800_000
 START = -1
+#: Bytes after which a long match is looked at for what is certain: more than the longest token has.
+LOOKAHEAD = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,8 +55,9 @@ class Transducer:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every byte must be a token")
         self.ranks, self.bytes_of = ranks, {i: t for t, i in ranks.items()}
+        self.size_of = {i: len(t) for t, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
+        self.token_at, self.depth = [-1], [0]
         for token, rank in ranks.items():
             node = 0
             for b in token:
@@ -61,6 +66,7 @@ class Transducer:
                     nxt = len(self.children)
                     self.children.append({})
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                     self.children[node][b] = nxt
                 node = nxt
             self.token_at[node] = rank
@@ -70,9 +76,8 @@ class Transducer:
     def _clear(self) -> None:
         self.states: dict[tuple, int] = {}
         self.hypotheses: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.ends: list[tuple[int, ...]] = []
-        self._state(((0, START, ()),))
+        self.moves: list[dict[int, tuple[int, int]]] = []
+        self._state(((0, START),))
 
     def _state(self, items: tuple) -> int:
         at = self.states.get(items)
@@ -80,10 +85,10 @@ class Transducer:
             at = self.states[items] = len(self.hypotheses)
             self.hypotheses.append(items)
             self.moves.append({})
-            self.ends.append(next((rest for node, _, rest in items if node == 0), ()))
         return at
 
     def follows(self, left: int, token: int) -> bool:
+        """Whether token may stand behind left (START: at the beginning)."""
         key = (left, token)
         ok = self.pairs.get(key)
         if ok is None:
@@ -96,43 +101,75 @@ class Transducer:
             self.pairs[key] = ok
         return ok
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        items, boundary = [], None
-        for node, left, rest in self.hypotheses[state]:
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        """(next state, the token that ends at this byte)."""
+        items, boundary = [], -1
+        for node, left in self.hypotheses[state]:
             nxt = self.children[node].get(byte)
             if nxt is None:
                 continue
             token = self.token_at[nxt]
-            if boundary is None and token >= 0 and self.follows(left, token):
-                boundary = (0, token, rest + (token,))
+            if boundary < 0 and token >= 0 and self.follows(left, token):
+                boundary = token
             if self.children[nxt]:
-                items.append((nxt, left, rest))
-        items.append(boundary)
-        first = items[0][2]
-        agreed = min(len(rest) for _, _, rest in items)
-        for _, _, rest in items:
-            while agreed and rest[:agreed] != first[:agreed]:
-                agreed -= 1
-        out = first[:agreed]
-        target = self._state(tuple(sorted((node, left, rest[agreed:]) for node, left, rest in items)))
-        self.moves[state][byte] = (target, out)
-        return target, out
+                items.append((nxt, left))
+        items.append((0, boundary))
+        items.sort()
+        self.moves[state][byte] = got = (self._state(tuple(items)), boundary)
+        return got
+
+    def _agreed(self, state: int, ends: list[int]) -> int:
+        """How many bytes all open hypotheses of the state cut alike; ends: the token that ends at each byte so far."""
+        shared = None
+        for node, _ in self.hypotheses[state]:
+            at, cuts = len(ends) - self.depth[node], set()
+            while at > 0:
+                cuts.add(at)
+                at -= self.size_of[ends[at - 1]]
+            shared = cuts if shared is None else shared & cuts
+        return max(shared or {0}, default=0)
+
+    def _tokens(self, ends: list[int]) -> list[int]:
+        at, out = len(ends), []
+        while at > 0:
+            token = ends[at - 1]
+            out.append(token)
+            at -= self.size_of[token]
+        out.reverse()
+        return out
+
+    def stream(self, piece):
+        """Ids of one match of the splitting pattern as they become certain; piece: its bytes, one after another."""
+        if len(self.hypotheses) > MOST_STATES:
+            self._clear()
+        state, ends, moves = 0, [], self.moves
+        for b in piece:
+            move = moves[state].get(b)
+            if move is None:
+                move = self._move(state, b)
+            state, token = move
+            ends.append(token)
+            if len(ends) >= LOOKAHEAD and len(ends) % LOOKAHEAD == 0:
+                sure = self._agreed(state, ends)
+                yield from self._tokens(ends[:sure])
+                del ends[:sure]
+        yield from self._tokens(ends)
 
     def encode(self, piece: bytes) -> list[int]:
-        """Ids of one match of the splitting pattern. A match that is a token as a whole is that token."""
+        """Ids of one match. A match that is a token as a whole is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        if len(piece) >= LOOKAHEAD:
+            return list(self.stream(piece))
         if len(self.hypotheses) > MOST_STATES:
             self._clear()
-        state, out = 0, []
+        state, ends, moves = 0, [], self.moves
         for b in piece:
-            move = self.moves[state].get(b)
-            state, emitted = move if move is not None else self._move(state, b)
-            if emitted:
-                out += emitted
-        out += self.ends[state]
-        return out
+            move = moves[state].get(b)
+            state, token = move if move is not None else self._move(state, b)
+            ends.append(token)
+        return self._tokens(ends)
 
 
 def _utf8_table() -> list[list[int]]:
@@ -182,10 +219,13 @@ class Codec:
     """encode(text) -> ids, decode(ids) -> pieces of text; matches of the pattern are encoded once each."""
 
     def __init__(self, path: str, pattern: str):
+        import re
+
         import regex
 
         self.transducer = Transducer(load_ranks(path))
         self.find = regex.compile(pattern).findall
+        self.find_latin = re.compile(latin_pattern(pattern)).findall
         size = max(self.transducer.bytes_of) + 1
         self.token_bytes = [self.transducer.bytes_of.get(i, b"") for i in range(size)]
         self.decimal = [str(i) for i in range(size)]
@@ -193,7 +233,12 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         known, out = self.known, []
-        for word in self.find(text):
+        try:
+            text.encode("latin-1")
+            words = self.find_latin(text)
+        except UnicodeEncodeError:
+            words = self.find(text)
+        for word in words:
             got = known.get(word)
             if got is None:
                 if len(known) >= REMEMBERED:
@@ -216,6 +261,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 def codec(path: str, pattern: str) -> Codec:
     """One a worker and vocabulary."""
+    claim(_codecs)
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]
