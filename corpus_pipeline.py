@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import c, saved
+from lodestone.llm.common import saved
 from lodestone.llm.crf import labelled_rows, toxicity
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.minhash import near_classes
@@ -16,20 +16,28 @@ from lodestone.llm.packing import pack_documents
 REJECT_FROM = 0.7
 
 
+def some_rows(docs: DataFrame, keep) -> DataFrame:
+    """The rows that keep(docs, id column, text column) leaves, with docs' own columns: the operators' results
+    get no name that docs may use."""
+    safe = [f"_c{k}" for k in range(len(docs.columns))]
+    at = dict(zip(docs.columns, safe))
+    return keep(docs.toDF(*safe), at["doc_id"], at["text"]).select(*safe).toDF(*docs.columns)
+
+
 def reject_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below REJECT_FROM. It learns from the labelled rows of docs."""
-    scored = toxicity(docs, labelled_rows(spark, sf_dir, docs), with_spans=False)
-    return scored.where(F.col("score") < REJECT_FROM).select(*[c(n) for n in docs.columns])
+    labelled = labelled_rows(spark, sf_dir, docs)
+    return some_rows(docs, lambda d, i, t: toxicity(d, labelled, i, t, with_spans=False).where(F.col("score") < REJECT_FROM))
 
 
 def drop_exact_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id."""
-    return exact_dedup(docs).where("kept").select(*[c(n) for n in docs.columns])
+    return some_rows(docs, lambda d, i, t: exact_dedup(d, i, t).where("kept"))
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the row with the smallest doc_id."""
-    return near_classes(docs).where("kept").select(*[c(n) for n in docs.columns])
+    return some_rows(docs, lambda d, i, t: near_classes(d, i, t).where("kept"))
 
 
 def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

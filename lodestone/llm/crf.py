@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import c, small_batches
-from .tokens import slices
+from .common import c, claim, small_batches
 
 #: The bound of the training sample: documents of each label, and characters of all.
 TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 900, 1300, 6_000_000
@@ -28,7 +27,7 @@ LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 4, 0.02, 3.5
 STEPS, RATE, DECAY = 60, 0.25, 1e-6
 LANES = 256
 BATCH_TOKENS = 1 << 16
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 WORD = re.compile(r"\w+")
 
@@ -239,6 +238,7 @@ def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
 
         weights, trans, layer = shared.value
         model, known = Model(weights, trans, layer), {}
+        claim()
 
         def emission(word):
             e = known.get(word)
@@ -306,7 +306,7 @@ def labelled_rows(spark, sf_dir: str, docs: DataFrame) -> DataFrame:
     for label, most in ((1, TRAIN_TOXIC), (0, TRAIN_OTHER)):
         own = labels.where(F.col("toxic") == label).orderBy(F.xxhash64("labelled_id")).limit(most)
         some = own if some is None else some.union(own)
-    return docs.join(F.broadcast(some), docs["doc_id"] == F.col("labelled_id")).select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")).select("text", "toxic")
 
 
 def op6_crf_toxicity(spark, sf_dir: str) -> DataFrame:

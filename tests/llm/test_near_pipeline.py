@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import imatch as im
@@ -210,3 +211,21 @@ def test_pipeline_stages(spark, sf):
 
     packed = [tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")) for r in corpus_pipeline.STAGES[3][1](spark, docs, sf).collect()]
     check_packing(packed, [(i, r.text) for i, r in before.items()], 2048, FILES[0])
+
+
+def test_pipeline_stages_tricky(spark, sf):
+    docs = tricky(spark).withColumn("toxic", F.lit("mine")).withColumn("keep_id", F.lit("mine"))
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        got = out.collect()
+        assert all(r["score"] == r["kept"] == r["class_id"] == r["a.b"] == "x" and r["toxic"] == r["keep_id"] == "mine" and r["m"] == {"a": 1} for r in got)
+        left = [(r.doc_id, r.text) for r in got]
+        if name == "toxicity":
+            assert sorted(map(str, left)) == sorted(map(str, rows))
+        elif name == "exact_dedup":
+            assert len(left) == len({(t or "").lower() for _, t in rows})
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        docs = spark.createDataFrame(got, docs.schema)
+    assert len(corpus_pipeline.STAGES[3][1](spark, docs, sf).select("doc_id").collect()) >= len(left)
