@@ -20,6 +20,8 @@ SLOTS = 1 << 15
 #: A lexicon beyond this many words is joined instead of sent to all executors.
 MOST_WORDS = 1_000_000
 LEAST_INFORMED = 6
+#: Id ranges that neighbours are found in.
+MOST_BUCKETS = 1 << 16
 #: What hash() gives for an empty array.
 EMPTY = 42
 
@@ -118,19 +120,23 @@ def with_next(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     """df with, for each of cols, next_<col>: the value in the next row in descending order of id_col (nulls
     last, ties by a hash of the row); the last row gets the first row's.
 
-    Rows go to buckets of id ranges at quantiles of the ids; the first row of each bucket also goes, marked,
-    to the end of the bucket before, so each bucket is whole without another exchange."""
+    Rows go to buckets of id ranges at quantiles of the ids (found by binary search); the first row of each bucket
+    also goes, marked, to the end of the bucket before, so each bucket is whole without another exchange."""
     spark = df.sparkSession
-    n = partitions(spark)
-    ident, bucket, ghost, tie, places = free_names(df, "_ident", "_bucket", "_ghost", "_tie", "_places")
-    ids = df.select(F.coalesce(c(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("i"))
-    cuts = ids.agg(F.percentile_approx("i", [k / (2 * n) for k in range(1, 2 * n)], 20 * n)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    in_bucket = f"size(filter(array({', '.join(f'{x}L' if x > -(1 << 63) else '-9223372036854775808' for x in cuts)}), s -> s > {{i}}))" if cuts else "0"
-    heads = {r.b: r.i for r in ids.withColumn("b", F.expr(in_bucket.format(i="i"))).groupBy("b").agg(F.max("i").alias("i")).collect()}
+    n = min(2 * partitions(spark), MOST_BUCKETS)
+    ident, bucket, ghost, tie, places, table = free_names(df, "_ident", "_bucket", "_ghost", "_tie", "_places", "_cuts")
+    number = F.coalesce(c(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
+    ids = df.select(number.alias(ident))
+    found = ids.agg(F.percentile_approx(ident, [k / n for k in range(1, n)], 10 * n).alias(table))
+    cuts = saved(found.select(F.coalesce(F.sort_array(F.array_distinct(table)), F.array().cast("array<long>")).alias(table)), "cuts")
+    middle = "CAST((s.lo + s.hi) DIV 2 AS INT)"
+    step = f"if(s.lo >= s.hi, s, if({table}[{middle}] <= {ident}, named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle})))"
+    at_most = f"aggregate(sequence(0, {n.bit_length()}), named_struct('lo', 0, 'hi', size({table})), (s, k) -> {step}, s -> s.lo)"
+    placed = lambda rows: rows.withColumn(table, cuts.scalar()).withColumn(bucket, F.expr(f"size({table}) - {at_most}")).drop(table)
+    heads = {r.b: r.i for r in placed(ids).groupBy(F.col(bucket).alias("b")).agg(F.max(ident).alias("i")).collect()}
     order = sorted(heads)
     before = {b: order[k - 1] for k, b in enumerate(order)}  # the first follows the last
-    step = df.withColumn(ident, F.coalesce(c(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))).withColumn(bucket, F.expr(in_bucket.format(i=ident))).withColumn(tie, row_hash(df))
+    step = placed(df.withColumn(ident, number)).withColumn(tie, row_hash(df))
     back = spark.createDataFrame([(heads[b], before[b]) for b in order], "head_id long, ghost_bucket int")  # a row a bucket
     step = step.join(F.broadcast(back), F.col(ident) == F.col("head_id"), "left")
     own = F.struct(F.col(bucket).alias("b"), F.lit(False).alias("g"))
