@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -65,12 +66,26 @@ def claim(cache: dict | None = None) -> None:
     """Called by a task before it uses its module's memory of words (or one of its own: None). A worker that has
     served other operators before drops theirs, so that it holds one at a time."""
     for other in _memories:
-        if other is not cache:
+        if other is not cache and other:
             other.clear()
+            _give_back()
     if cache is not None and not any(other is cache for other in _memories):
         _memories.append(cache)
 
 
+def _give_back() -> None:
+    """Freed memory to the system: a worker stays, and what it keeps counts against its executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries don't have it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have, in any letter case."""
     taken = {c.lower() for c in df.columns}

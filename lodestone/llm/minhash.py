@@ -25,9 +25,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import c, discard, free_names, partitions, saved, scratch, small_batches
+from .common import c, claim, free_names, partitions, saved, scratch, small_batches
 from .tokens import slices
 
 WORDS, SIMILARITY = 5, 0.8
@@ -43,7 +42,7 @@ SMALL = 32
 FEW_ROWS = 2_000_000
 #: Members compared with one pivot by one task.
 A_TASK = 256
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 U = np.uint64
 _words: dict[str, int] = {}
@@ -108,6 +107,7 @@ def document_frequencies(texts: DataFrame, words: int = WORDS) -> np.ndarray:
         import pyarrow as pa
         from pyspark import TaskContext
 
+        claim(_words)
         total = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
             for _, some in slices(batch.column(0)):
@@ -203,6 +203,7 @@ def _samples(base: DataFrame, idf, words: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        claim(_words)
         weight_of = idf.value
         for batch in batches:
             for at, texts in slices(batch.column(3), 128):
@@ -239,6 +240,7 @@ def _verified(pairs: DataFrame, base: DataFrame, idf, similarity: float, words:
     def run(batches):
         import pyarrow as pa
 
+        claim(_words)
         weight_of = idf.value
 
         def vector(text):

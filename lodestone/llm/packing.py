@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import c, saved, small_batches
-from .tokens import encoder, slices
+from .tokens import MORE_WORDS, WORDS, encoder, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -129,11 +129,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     return made + best
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, words: int = WORDS) -> DataFrame:
     """A row for each piece of each document: id_col, piece, start, length, ids_crc32 (and ids).
 
     A document's ids are followed by END_ID; only longer ones are cut, into pieces of the capacity. A null
-    text counts as empty: one piece with END_ID alone."""
+    text counts as empty: one piece with END_ID alone. words: how many a worker remembers."""
     small_batches(docs.sparkSession)
     source = docs.select(c(id_col), F.coalesce(c(text_col), F.lit("")).alias("text" if id_col.lower() != "text" else "_text"))
     fields = [T.StructField(id_col, source.schema[0].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
@@ -143,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def cut(batches):
         import pyarrow as pa
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, words).encode
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for at, texts in slices(batch.column(1)):
@@ -211,14 +211,14 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place_rows, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, words: int = WORDS) -> DataFrame:
     """Pieces of documents with their sequence and place. An empty table gives an empty result; columns other
     than the id and the text are not carried."""
-    return pack(pieces(docs, tokenizer, id_col, text_col, capacity, with_ids), capacity)
+    return pack(pieces(docs, tokenizer, id_col, text_col, capacity, with_ids, words), capacity)
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), words=MORE_WORDS).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -16,8 +16,9 @@ from .common import claim
 
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
-#: Pre-tokens that a worker remembers; beyond it the memory starts anew (about 150 bytes each).
-WORDS = 1_000_000
+#: Pre-tokens that a worker remembers; beyond it the memory starts anew (about 150 bytes each). More for jobs whose
+#: workers do nothing else.
+WORDS, MORE_WORDS = 250_000, 1_000_000
 #: Fixed pattern of the library's byte-level splitting.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The Latin-1 characters of the classes L, N and white space, for a pattern of Python's own (and faster) engine.
@@ -76,6 +77,7 @@ class Encoder:
             self.find = regex.compile(pattern).findall
             self.find_latin = re.compile(latin_pattern(pattern)).findall
         self.words: dict[str, bytes] = {}
+        self.most = WORDS
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
@@ -100,7 +102,7 @@ class Encoder:
                 out.append(b"")
                 missing.update(w for w in words if w not in known)
         if late:
-            if len(known) + len(missing) > WORDS:
+            if len(known) + len(missing) > self.most:
                 known.clear()
                 missing = {w for _, words in late for w in words}
             new = list(missing)
@@ -111,14 +113,15 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """One a worker and vocabulary file; the file must be at this path on every executor."""
+def encoder(path: str, words: int = WORDS) -> Encoder:
+    """One a worker and vocabulary file, that remembers so many words; the file must be at this path on every executor."""
     claim(_encoders)
     if path not in _encoders:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = Encoder(path)
+    _encoders[path].most = words
     return _encoders[path]
 
 
