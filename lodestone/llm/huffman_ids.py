@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import c, discard, partitions, row_hash, saved, scratch, small_batches
-from .tokens import encoder, slices
+from .tokens import MORE_WORDS, encoder, slices
 
 MAGIC = b"HID1"
 LIMIT, BLOCK, IDS_A_FILE = 16, 2048, 8_000_000
@@ -133,18 +133,23 @@ def unpack_file(raw: bytes, table: tuple[int, np.ndarray, np.ndarray]) -> tuple[
     blocks = -(-head["ids"] // head["block"])
     starts = np.frombuffer(raw, "<u8", blocks, at).astype(np.int64)
     words = np.frombuffer(raw, ">u4", -1, at + 8 * blocks).astype(np.uint64)
-    pairs = (words[:-1] << np.uint64(32)) | words[1:]
+    # A block may be read beyond its end, by what its steps can take at most; such ids are cut off below.
     limit, by_bits, length = table
-    mask, last = np.uint64((1 << limit) - 1), len(pairs) - 1
-    out = np.empty((head["block"], blocks), dtype=np.uint32)
-    pos = starts.copy()
+    words = np.concatenate([words, np.zeros(head["block"] * limit // 32 + 2, np.uint64)])
+    pairs = (words[:-1] << np.uint64(32)) | words[1:]
+    packed = (by_bits.astype(np.uint32) << np.uint32(5)) | length
+    top, low = np.int64(64 - limit), np.int64(31)
     steps = min(head["block"], head["ids"])
+    out = np.empty((steps, blocks), dtype=np.uint32)
+    pos = starts.copy()
     for k in range(steps):
-        look = pairs[np.minimum(pos >> 5, last)]
-        look = (look >> (64 - limit - (pos & 31)).astype(np.uint64)) & mask
-        out[k] = by_bits[look]
-        pos += length[look]
-    return out[:steps].T.reshape(-1)[: head["ids"]] if blocks else np.zeros(0, np.uint32), sizes
+        look = pairs[pos >> 5]
+        look >>= (top - (pos & low)).view(np.uint64)
+        got = packed[look & np.uint64((1 << limit) - 1)]
+        out[k] = got
+        pos += got & np.uint32(31)
+    out >>= np.uint32(5)
+    return out.T.reshape(-1)[: head["ids"]] if blocks else np.zeros(0, np.uint32), sizes
 
 
 def _filesystem(path: str):
@@ -201,7 +206,7 @@ def ordered_ids(docs: DataFrame, tokenizer: str, kind: str, path: str) -> DataFr
     def encode(batches):
         import pyarrow as pa
 
-        enc, seen = encoder(tokenizer).encode, 0
+        enc, seen = encoder(tokenizer, MORE_WORDS).encode, 0
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for at, texts in slices(batch.column(2)):
