@@ -5,18 +5,14 @@ document frequency between 1 and 2. Frequencies of all documents are kept in a h
 less what an average slot holds. ICWS draws samples that two sets share with a chance equal to their weighted
 Jaccard similarity; bands of samples give buckets, and pairs from buckets are verified on whole texts.
 
-No large bucket gives all its pairs. Equal texts go as one. In each of its buckets a text is compared with the
-bucket's first member, its pivot; texts that are linked, by any bucket, need no more. Buckets with outliers
-(members in another component than the pivot) are opened: small ones are finished by comparing outliers with
-all that are not in their component; large ones (a group of thousands of copies of a copy, texts that share a
-long passage) are split by more samples and go the same way once more. So comparisons grow with the members of
-buckets, not with their squares. Links are made components by contraction of tables.
-
-What this can miss: a link whose texts lie in large buckets only, neither of them is linked to a pivot, and
-they are never in a small part together. On the test table with the largest group (3638 near copies of one
-text, of which 1055 are one component by all 6.6 million pairs) pivots of the bands alone miss 2 texts, and the
-split leaves 1. A bucket's outliers against all its members would find it for 20 times the comparisons, a
-number that grows with the square of the group."""
+Equal texts go as one. In each of its buckets a text is compared with the bucket's first member, its pivot; texts
+that are linked, by any bucket, need no more. Buckets with outliers (members in another component than the
+pivot) are opened: small ones are finished by comparing outliers with all that are not in their component; large
+ones (a group of thousands of copies of a copy, texts that share a long passage) are split by more samples, and
+the parts' members are compared with the parts' pivots. What is still apart in a large bucket then is compared
+whole, in blocks: every member outside its largest component with every other member, by one product of
+matrices a pair of blocks. So all pairs of a bucket end in one component or have been compared; the last step's
+work grows with a bucket's outliers times its members. Links are made components by contraction of tables."""
 
 from __future__ import annotations
 
@@ -40,6 +36,8 @@ SLOTS, CHUNK = 1 << 20, 1 << 15
 SMALL = 32
 #: A table of needed rows up to this many is sent to all executors (16 bytes each).
 FEW_ROWS = 2_000_000
+#: Members of a block of a large bucket (in the mean), and shared shingles in one product.
+BLOCK, COLUMNS = 512, 4096
 #: Members compared with one pivot by one task.
 A_TASK = 256
 REMEMBERED = 200_000
@@ -331,6 +329,95 @@ def _cross(members: DataFrame, outliers: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("m")).distinct()
 
 
+def linked_across(found: list[tuple], similarity: float) -> list[tuple]:
+    """Links (p, m, similarity) that join the components of found: rows of (node, comp, on the left, hashes, counts,
+    weights of one count). Left rows are compared with all; one link is enough between components."""
+    # The k-th occurrence of a shingle is a feature of its own, so that smaller counts are sums over shared features.
+    ids, weights, docs, total = [], [], [], np.zeros(len(found))
+    for k, (_, _, _, h, counts, w) in enumerate(found):
+        turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        ids.append(np.repeat(h, counts) + turn.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        weights.append(np.repeat(w, counts))
+        docs.append(np.full(len(turn), k))
+        total[k] = (w.astype(float) * counts).sum()
+    ids, weights, docs = np.concatenate(ids), np.concatenate(weights), np.concatenate(docs)
+    order = np.argsort(ids)
+    ids, weights, docs = ids[order], weights[order], docs[order]
+    col = np.cumsum(np.r_[False, ids[1:] != ids[:-1]])
+    shared = (np.bincount(col) > 1)[col]
+    weights, docs = weights[shared], docs[shared]
+    col = np.unique(col[shared], return_inverse=True)[1]
+    left = np.flatnonzero([r[2] for r in found])
+    both = np.zeros((len(left), len(found)), np.float32)
+    for at in range(0, int(col.max()) + 1 if len(col) else 0, COLUMNS):
+        a, b = np.searchsorted(col, (at, at + COLUMNS))
+        x = np.zeros((len(found), COLUMNS), np.float32)
+        w = np.zeros(COLUMNS, np.float32)
+        x[docs[a:b], col[a:b] - at] = 1
+        w[col[a:b] - at] = weights[a:b]
+        both += (x[left] * w) @ x.T
+    comps = np.array([r[1] for r in found])
+    # A little below the bound by these rounded sums; the exact comparison decides.
+    near = both >= (similarity - 1e-3) * (total[left][:, None] + total[None, :] - both)
+    near &= comps[left][:, None] != comps[None, :]
+    top: dict[int, int] = {}
+
+    def root(x):
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    out = []
+    for i, j in zip(*(v.tolist() for v in np.nonzero(near))):
+        a, b = found[left[i]], found[j]
+        ca, cb = root(a[1]), root(b[1])
+        if ca != cb and (s := weighted_jaccard((a[3], a[5] * a[4]), (b[3], b[5] * b[4]))) >= similarity:
+            top[ca] = cb
+            out.append((min(a[0], b[0]), max(a[0], b[0]), s))
+    return out
+
+
+def _crossed(rows: DataFrame, comps: DataFrame, base: DataFrame, idf, similarity: float, words: int) -> DataFrame:
+    """Links between components within the buckets of more than SMALL nodes: all members outside a bucket's largest
+    component are compared with all others, in blocks that hash values of the nodes choose."""
+    placed = saved(_with_comp(rows, comps), "placed")
+    kinds = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    size = kinds.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where(f"n > {SMALL} AND kinds > 1")
+    lefts, rights = F.ceil((F.col("n") - F.col("main.n")) / BLOCK), F.ceil(F.col("main.n") / BLOCK)
+    size = size.select("bucket", F.col("main.comp").alias("main"), lefts.alias("lefts"), rights.alias("rights"))
+    left = F.col("comp") != F.col("main")
+    block = F.when(left, F.pmod(F.xxhash64("node"), "lefts")).otherwise(F.col("lefts") + F.pmod(F.xxhash64("node"), "rights"))
+    dealt = placed.join(size, "bucket").select("bucket", "node", "comp", "lefts", left.alias("left"), block.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.when(left, F.col("lefts") + F.col("rights")).otherwise(F.col("lefts")) - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", (F.col("left") & (F.col("own") <= F.col("other"))).alias("left"))
+    dealt = saved(dealt, "blocks")
+    need = saved(dealt.select(F.col("node").alias("rid")).distinct(), "blocks-need")
+    texts = base.select("rid", "text").join(F.broadcast(need) if need.count() <= FEW_ROWS else need, "rid", "left_semi")
+    full = dealt.join(texts, dealt.node == texts.rid).select("bucket", "i", "j", "node", "comp", "left", "text")
+    full = full.repartition(partitions(base.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def run(batches):
+        import pyarrow as pa
+
+        claim(_words)
+        weight_of = idf.value
+        key, found = None, []
+        result = lambda out: pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], names=["p", "m", "similarity"])
+        for batch in batches:
+            for at, texts in slices(batch.column(6)):
+                columns = [batch.column(k).slice(at, len(texts)).to_pylist() for k in range(6)]
+                for bucket, i, j, node, comp, left, text in zip(*columns, texts):
+                    if key != (bucket, i, j):
+                        if found:
+                            yield result(linked_across(found, similarity))
+                        key, found = (bucket, i, j), []
+                    h, counts = shingles(text, words)
+                    found.append((node, comp, left, h, counts, weight_of[slot_of(h)]))
+        if found:
+            yield result(linked_across(found, similarity))
+
+    return saved(full.mapInArrow(run, "p long, m long, similarity double").distinct(), "crossed-links")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """docs' columns and class_id, class_size, kept: one row for each of docs.
 
@@ -359,7 +446,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = _verified(_star(rows), base, idf, similarity, words, "first")
     comps = components(links)
 
-    # Small buckets are finished; large ones are split by more samples, and their parts go the same way.
+    # Small buckets are finished; large ones are split by more samples, and then what is still apart in them is compared whole.
     open_members, outliers = _outliers(rows, comps)
     large = open_members.where(F.col("n") > SMALL).select("bucket", "node")
     finer = saved(_repeated(large.join(own, "node").select("node", F.explode(_finer()).alias("bucket"))), "finer")
@@ -368,8 +455,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = links.union(second)
     if not second.isEmpty():
         comps = components(links)
-    open_members, outliers = _outliers(finer, comps)
-    third = _verified(_cross(open_members.where(F.col("n") <= SMALL), outliers.where(F.col("n") <= SMALL)), base, idf, similarity, words, "third")
+    third = _crossed(rows, comps, base, idf, similarity, words)
     if not third.isEmpty():
         comps = components(links.union(third))
 

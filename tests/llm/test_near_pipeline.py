@@ -121,6 +121,28 @@ def test_near_classes_against_all_pairs(spark, small, monkeypatch):
     assert {frozenset(v) for v in got.values()} == set(want.values())
 
 
+def test_links_of_large_buckets_are_all_found(spark, monkeypatch):
+    """Copies that are as near to each other as to their pivot: most links are between outliers of large buckets."""
+    monkeypatch.setattr(mh, "SMALL", 2)
+    monkeypatch.setattr(mh, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(mh, "FINER", mh.SAMPLES)  # no part of a bucket holds texts that aren't nearly equal
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for _ in range(6):
+        base = [word() for _ in range(250)]
+        for _ in range(60):
+            own = list(base)
+            for at in rnd.sample(range(250), 3):
+                own[at] = word()
+            rows.append((len(rows), " ".join(own)))
+    want = brute_classes(rows)
+    got = defaultdict(set)
+    for r in mh.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.class_id].add(r.doc_id)
+    assert {frozenset(v) for v in got.values()} == set(want.values())
+
+
 def test_query_op8(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     want = brute_classes(rows)
