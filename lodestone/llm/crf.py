@@ -203,23 +203,27 @@ def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     """docs' columns and score (0 to 1), spans (array of start, end, probability: offsets of code points).
 
     labelled: rows of (text, toxic) to learn from; see TRAIN_* for how many are used, chosen by a hash of the
-    text. Without a label of both kinds all scores are the share of toxic labels (0 if none). A null text counts
+    text; of these a label's longest are left out while it has over half of the characters. Without a label of both kinds all scores are the share of toxic labels (0 if none). A null text counts
     as empty; a text without words gets the score of no marginal. An empty table gives an empty result.
     Columns of docs with an output's name are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts, toxic, held = [], [], 0
+    texts, toxic = [], []
     for label, most in ((1, TRAIN_TOXIC), (0, TRAIN_OTHER)):
-        some = labelled.where(F.col("toxic") == label).select("text").where("text IS NOT NULL")
-        # Hashes first: only chosen texts travel.
-        chosen = some.select(F.xxhash64("text").alias("h")).orderBy("h").limit(most)
-        budget = held + TRAIN_CHARS // 2
-        for r in some.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen.distinct()), "h", "left_semi").select("text").orderBy("h").limit(most).toLocalIterator():
-            held += len(r.text)
-            if held > budget:
-                break
-            texts.append(r.text)
-            toxic.append(label)
+        some = labelled.where(F.col("toxic") == label).select("text").where("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+        # Hashes and lengths first: only texts that fit travel. Where not all do, the longest are left out.
+        chosen = [(r.n, r.h) for r in some.select("h", F.length("text").alias("n")).orderBy("h").limit(most).collect()]
+        fit, size, budget = Counter(), 0, TRAIN_CHARS // 2
+        for n, h in sorted(chosen):
+            if size + n <= budget or not fit:  # if even the shortest is too long, its beginning is used
+                size += n
+                fit[h] += 1
+        hashes = spark.createDataFrame([(h,) for h in fit], "h long")
+        for r in some.join(F.broadcast(hashes), "h", "left_semi").select("h", F.substring("text", 1, budget).alias("text")).orderBy("h").toLocalIterator():
+            if fit[r.h]:
+                fit[r.h] -= 1
+                texts.append(r.text)
+                toxic.append(label)
     if len(set(toxic)) < 2:
         share = float(sum(toxic)) / len(toxic) if toxic else 0.0
         model = Model(np.zeros(HASHED + 1), np.ones(6), np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), 0, 0, 0]))

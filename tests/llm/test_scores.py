@@ -60,6 +60,16 @@ def test_toxicity_without_labels(spark):
     assert {r.score > 0.99 for r in crf.toxicity(tricky(spark), labelled(spark).where("toxic = 1")).collect()} == {True}
 
 
+def test_a_long_labelled_text_costs_only_itself(spark, monkeypatch):
+    monkeypatch.setattr(crf, "TRAIN_CHARS", 12_000)
+    docs = spark.createDataFrame([(1, "and so a vile wretch and more"), (2, "and so plain words and more")], "doc_id long, text string")
+    # Some of the long texts are first by hash, and others later.
+    for label in (0, 1):
+        long = spark.createDataFrame([(f"{'words ' * 1_500}{k}", label) for k in range(40)], "text string, toxic int")
+        score = {r.doc_id: r.score for r in crf.toxicity(docs, labelled(spark).unionByName(long), with_spans=False).collect()}
+        assert score[1] > 0.7 > 0.3 > score[2]
+
+
 def test_query_op6_on_held_out_labels(spark, sf):
     rows = {r.doc_id: r for r in QUERIES["op6_crf_toxicity"](spark, sf).collect()}
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
