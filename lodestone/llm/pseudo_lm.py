@@ -4,7 +4,7 @@ Tokens are words; the most frequent have a symbol each, all others one of some s
 network adds one vector for each of the WINDOW words before and after, takes a hyperbolic tangent, and predicts
 the class of the symbol and then the symbol within its class, so the cost does not grow with the vocabulary.
 Counts cover all documents. Training starts on the driver from a few windows and then takes one pass over every
-STRIDE-th token of all documents, in all tasks at once; their weights are averaged by tokens seen. The summed
+token of all documents, in all tasks at once; their weights are averaged by tokens seen. The summed
 conditional log-probabilities of all tokens score a document."""
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ CLASSES = 64
 #: Symbols in all, and those for words that have none of their own.
 SYMBOLS, ENDINGS = CLASSES * 32, 255
 HIDDEN = 32
-STRIDE, BATCH, RATE = 16, 512, 0.005
+BATCH, RATE = 512, 0.005
 #: The first weights come from so many documents.
 FIRST_DOCS = 200
 CHUNK = 1 << 14
@@ -183,7 +183,7 @@ def top_words(texts: DataFrame) -> list[str]:
 
 
 def train_on(texts: DataFrame, words: list[str], start: np.ndarray) -> np.ndarray:
-    """Weights after one pass over every STRIDE-th token of all documents, the mean over tasks by tokens seen.
+    """Weights after one pass over every token of all documents, the mean over tasks by tokens seen.
 
     Each task sends its weights in chunks, times its tokens; chunks are added up as they stream by."""
     shared = texts.sparkSession.sparkContext.broadcast((words, start))
@@ -208,19 +208,15 @@ def train_on(texts: DataFrame, words: list[str], start: np.ndarray) -> np.ndarra
             seen += len(y)
             ctx, target, have = [], [], 0
 
-        at = 0
         for batch in batches:
             for _, some in slices(batch.column(0)):
                 for text in some:
                     s = vocabulary.symbols(text)
                     if len(s) == 0:
                         continue
-                    pick = np.arange((at * 7) % STRIDE, len(s), STRIDE)
-                    at += 1
-                    if len(pick):
-                        ctx.append(contexts(s)[:, pick])
-                        target.append(s[pick])
-                        have += len(pick)
+                    ctx.append(contexts(s))
+                    target.append(s)
+                    have += len(s)
                     if have >= 32 * BATCH:
                         learn()
         if have:

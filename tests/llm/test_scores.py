@@ -106,6 +106,17 @@ def test_contexts():
     assert lm.contexts(np.array([5, 6, 7], np.int32)).tolist() == [[0, 0, 5], [0, 5, 6], [6, 7, 0], [7, 0, 0]]
 
 
+def test_training_takes_every_token(spark):
+    texts, words = [f"w{k % 5} v{k % 3}" for k in range(40)], [f"{x}{k}" for x in "wv" for k in range(5)]
+    lm.small_batches(spark)
+    start = lm.Net().flat
+    got = lm.train_on(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), words, start)
+    symbols, net = [lm.Vocabulary(words).symbols(t) for t in texts], lm.Net(start)
+    order = np.random.default_rng(11).permutation(80)
+    net.train(np.concatenate([lm.contexts(s) for s in symbols], axis=1)[:, order], np.concatenate(symbols)[order], {})
+    assert np.allclose(got, net.flat, atol=1e-4)
+
+
 def test_pseudo_likelihood_tricky(spark):
     rows = lm.pseudo_likelihood(tricky(spark)).collect()
     assert len(rows) == len(TRICKY)
