@@ -1,68 +1,57 @@
 """Masked pseudo-likelihood: a network predicts each token from those on both sides of it.
 
-Tokens are words; the most frequent have a symbol each, all others one of some symbols by their ending. The
-network adds one vector for each of the WINDOW words before and after, takes a hyperbolic tangent, and predicts
-the class of the symbol and then the symbol within its class, so the cost does not grow with the vocabulary.
-Counts cover all documents. Training starts on the driver from a few windows and then takes one pass over every
-token of all documents, in all tasks at once; their weights are averaged by tokens seen. The summed
-conditional log-probabilities of all tokens score a document."""
+Tokens are words and marks. The network adds one vector for each of the WINDOW tokens before and after, takes a
+hyperbolic tangent, and predicts the class of a symbol and then the symbol within its class, so the cost does
+not grow with the vocabulary. The most frequent words are symbols of their own; the others share symbols by
+their ending, and within such a symbol each word has its share of the symbol's count over all documents. So
+every word of the corpus has a probability, and all of them add up to one.
+
+Texts are cut into words once, and written as numbers. A task numbers the words it meets itself, a segment of
+them at a time, and writes the segment's words and counts beside; these are added up over all documents, and each
+segment gets a file with the symbol and share of each of its numbers. What is counted and written thus grows
+with the corpus, and no task holds more than a segment's words. Training takes one pass over every token of all
+documents: a small turn and then the rest, in all tasks at once, weights being averaged by tokens seen after
+each turn. The summed conditional log-probabilities of all tokens score a document."""
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import c, claim, partitions, small_batches
+from .common import c, claim, partitions, saved, scratch, small_batches
+from .huffman_ids import get, put
 from .tokens import slices
 
 WINDOW = 2
-CLASSES = 64
-#: Symbols in all, and those for words that have none of their own.
-SYMBOLS, ENDINGS = CLASSES * 32, 255
-HIDDEN = 32
-BATCH, RATE = 512, 0.005
-#: The first weights come from so many documents.
-FIRST_DOCS = 200
+CLASSES, PER = 40, 64
+#: Symbols in all (0 is the edge), and those that words share by their ending.
+SYMBOLS, ENDINGS = CLASSES * PER, 255
+OWN = SYMBOLS - ENDINGS - 1
+HIDDEN = 16
+RATE = 0.1
+#: One in FIRST documents (by a hash) makes the first turn; tokens in a step of the two turns.
+FIRST, STEPS = 16, (1024, 8192)
+#: Words that a task numbers before it starts a new segment.
+SEGMENT_WORDS = 150_000
 CHUNK = 1 << 14
-REMEMBERED = 400_000
 EDGE = 0  # the symbol beyond a document's ends
 
 WORD = re.compile(r"\w+|[^\w\s]")
-PER = SYMBOLS // CLASSES
+PLACES = (*range(-WINDOW, 0), *range(1, WINDOW + 1))
 
 
-class Known(dict):
-    """Word -> symbol: 0 is the edge, then words by falling count, then symbols for the endings of others."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > REMEMBERED:
-            own = [(w, s) for w, s in self.items() if s < SYMBOLS - ENDINGS]
-            self.clear()
-            self.update(own)
-        s = self[word] = SYMBOLS - ENDINGS + zlib.crc32(word[-2:].encode("utf-8", "replace")) % ENDINGS
-        return s
-
-
-class Vocabulary:
-    def __init__(self, words: list[str]):
-        self.known = Known((w, 1 + k) for k, w in enumerate(words[: SYMBOLS - ENDINGS - 1]))
-
-    def symbols(self, text: str) -> np.ndarray:
-        words = WORD.findall(text.lower())
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int32, count=len(words))
-
-
-def contexts(symbols: np.ndarray) -> np.ndarray:
-    """(2 * WINDOW, tokens): the symbols at each place around each token, EDGE beyond the ends."""
-    padded = np.concatenate([np.full(WINDOW, EDGE, np.int32), symbols, np.full(WINDOW, EDGE, np.int32)])
-    n = len(symbols)
-    return np.stack([padded[WINDOW + d : WINDOW + d + n] for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1))])
+def contexts(docs: list[np.ndarray]) -> np.ndarray:
+    """(2 * WINDOW, tokens): the symbols at each place around each token of all docs, EDGE beyond a document's ends."""
+    edge = np.full(WINDOW, EDGE, np.int32)
+    line = np.concatenate([x for d in docs for x in (edge, d)] + [edge])
+    sizes = np.array([len(d) for d in docs])
+    at = np.arange(sizes.sum()) + np.repeat(WINDOW * np.arange(1, len(docs) + 1), sizes)
+    return np.stack([line[at + d] for d in PLACES])
 
 
 class Net:
@@ -76,148 +65,239 @@ class Net:
             rng = np.random.default_rng(7)
             flat = np.concatenate([rng.normal(0, 0.1, sizes[0]), np.zeros(sizes[1]), rng.normal(0, 0.1, sizes[2]), rng.normal(0, 0.1, sizes[3])])
         self.flat = np.array(flat, dtype=np.float32)
-        ends = np.cumsum(sizes)
-        self.around, self.bias, self.by_class, self.within = (self.flat[e - n : e].reshape(s) for e, n, s in zip(ends, sizes, self.SHAPES))
+        self.around, self.bias, self.by_class, self.within = self._views(self.flat)
+        self.squares = None
+
+    def _views(self, flat: np.ndarray) -> list[np.ndarray]:
+        sizes = [int(np.prod(s)) for s in self.SHAPES]
+        return [flat[e - n : e].reshape(s) for e, n, s in zip(np.cumsum(sizes), sizes, self.SHAPES)]
 
-    def hidden(self, ctx: np.ndarray) -> np.ndarray:
-        h = self.around[0][ctx[0]]
+    def _hidden(self, ctx: np.ndarray) -> np.ndarray:
+        """Hidden values, and a last column of ones for the bias of what follows."""
+        h = np.ones((ctx.shape[1], HIDDEN + 1), np.float32)
+        inner = self.around[0][ctx[0]]
         for k in range(1, len(ctx)):
-            h = h + self.around[k][ctx[k]]
-        return np.tanh(h + self.bias)
+            inner += self.around[k][ctx[k]]
+        inner += self.bias
+        np.tanh(inner, out=h[:, :HIDDEN])
+        return h
+
+    def _safe(self) -> bool:
+        """Hidden values are within 1, so no logit is beyond these sums: exp() needs no shift while they are small."""
+        return max(np.abs(self.by_class).sum(axis=0).max(), np.abs(self.within).sum(axis=1).max()) < 80
 
     def log_probabilities(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(target | both sides) of each token."""
-        h = self.hidden(ctx)
-        cls, word = target // PER, target % PER
-        n = np.arange(len(target))
-        ones = np.ones(max(CLASSES, PER), np.float32)
-        # Hidden values are within 1, so no logit is beyond this; exp() needs no shift below it.
-        safe = max(np.abs(self.by_class).sum(axis=0).max(), np.abs(self.within).sum(axis=1).max()) < 80
-
-        def chosen(z, k):
+        return self._run(ctx, target, False)
+
+    def train(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """One step of AdaGrad on the mean loss of a batch; the log-probabilities before it. Rows of `around` that
+        the batch doesn't use stay as they are."""
+        if self.squares is None:
+            self.squares = self._views(np.full(len(self.flat), 1e-3, np.float32))
+        return self._run(ctx, target, True)
+
+    def _run(self, ctx: np.ndarray, target: np.ndarray, learn: bool) -> np.ndarray:
+        m, safe = len(target), self._safe()
+        order = np.argsort((target // PER).astype(np.uint16), kind="stable")
+        ctx, target = ctx[:, order], target[order]
+        cls = target // PER
+        word, n, share = target - cls * PER, np.arange(m), np.float32(1 / m)
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
+        h = self._hidden(ctx)
+
+        def predicted(z, k):
+            """log-probabilities of k; z becomes the gradient of the loss by the logits."""
             if not safe:
                 z -= z.max(axis=1, keepdims=True)
-            own = z[n[: len(z)], k]
+            rows = n[: len(z)]
+            own = z[rows, k]
             np.exp(z, out=z)
-            return own - np.log(z @ ones[: z.shape[1]])
-
-        z = h @ self.by_class[:-1]
-        z += self.by_class[-1]
-        out = chosen(z, cls)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        h, word = h[order], word[order]
-        second = np.empty(len(target), np.float32)
+            total = z.sum(axis=1)
+            if learn:
+                z *= (share / total)[:, None]
+                z[rows, k] -= share
+            return own - np.log(total)
+
+        z = h @ self.by_class
+        p = predicted(z, cls)
+        if learn:
+            g_class, g_h = h.T @ z, z @ self.by_class[:HIDDEN].T
         for k in range(CLASSES):
             a, b = edges[k], edges[k + 1]
-            if b > a:
-                z = h[a:b] @ self.within[k, :-1]
-                z += self.within[k, -1]
-                second[a:b] = chosen(z, word[a:b])
-        out[order] += second
+            if a == b:
+                continue
+            z = h[a:b] @ self.within[k]
+            p[a:b] += predicted(z, word[a:b])
+            if learn:
+                g_h[a:b] += z @ self.within[k, :HIDDEN].T
+                self._step(3, k, h[a:b].T @ z)
+        out = np.empty(m, np.float32)
+        out[order] = p
+        if learn:
+            inner = h[:, :HIDDEN]
+            g_h *= 1 - inner * inner
+            self._step(2, slice(None), g_class)
+            self._step(1, slice(None), g_h.sum(axis=0))
+            for k in range(len(ctx)):
+                order = np.argsort(ctx[k].astype(np.uint16), kind="stable")
+                symbols = ctx[k][order]
+                starts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
+                self._step(0, (k, symbols[starts]), np.add.reduceat(g_h[order], starts, axis=0))
         return out
 
-    def train(self, ctx: np.ndarray, target: np.ndarray, state: dict) -> None:
-        """One step of Adam on the mean loss of a batch. Rows of `around` that the batch doesn't use stay as they are."""
-        m = len(target)
-        h = self.hidden(ctx)
-        cls, word, n = target // PER, target % PER, np.arange(m)
-        z = h @ self.by_class[:-1] + self.by_class[-1]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[n, cls] -= 1
-        z /= m
-        g_class = np.concatenate([h.T @ z, z.sum(axis=0, keepdims=True)])
-        g_h = z @ self.by_class[:-1].T
-        w = self.within[cls]
-        y = np.matmul(h[:, None, :], w[:, :-1])[:, 0] + w[:, -1]
-        y = np.exp(y - y.max(axis=1, keepdims=True))
-        y /= y.sum(axis=1, keepdims=True)
-        y[n, word] -= 1
-        y /= m
-        g_h += np.matmul(w[:, :-1], y[:, :, None])[:, :, 0]
-        order = np.argsort(cls, kind="stable")
-        used, starts = np.unique(cls[order], return_index=True)
-        h1 = np.concatenate([h, np.ones((m, 1), np.float32)], axis=1)
-        g_pre = g_h * (1 - h * h)
-        t = state["t"] = state.get("t", 0) + 1
-
-        def step(name, view, rows, g):
-            if name not in state:
-                state[name] = (np.zeros_like(view), np.zeros_like(view))
-            a, b = state[name]
-            a[rows] += 0.1 * (g - a[rows])
-            b[rows] += 0.01 * (g * g - b[rows])
-            view[rows] -= RATE * (a[rows] / (1 - 0.9**t)) / (np.sqrt(b[rows] / (1 - 0.99**t)) + 1e-6)
-
-        for k, own in zip(used.tolist(), np.split(order, starts[1:])):
-            step("within", self.within, k, h1[own].T @ y[own])
-        step("class", self.by_class, slice(None), g_class)
-        step("bias", self.bias, slice(None), g_pre.sum(axis=0))
-        for k in range(len(ctx)):
-            order = np.argsort(ctx[k], kind="stable")
-            rows, starts = np.unique(ctx[k][order], return_index=True)
-            step(f"around{k}", self.around[k], rows, np.add.reduceat(g_pre[order], starts, axis=0))
-
-
-def top_words(texts: DataFrame) -> list[str]:
-    """The most frequent words of all documents, by count and then word; their number is fixed."""
-
-    def count(batches):
+    def _step(self, part: int, rows, g: np.ndarray) -> None:
+        view = (self.around, self.bias, self.by_class, self.within)[part]
+        squares = self.squares[part][rows] + g * g
+        self.squares[part][rows] = squares
+        view[rows] -= RATE * g / np.sqrt(squares)
+
+
+def numbered(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
+    """A written table: a row of kind 0 for each of docs, with the numbers of its words in its segment (and turn, the
+    turn that it is learned in), and a row of kind 1 for each segment, with its words and their counts."""
+    source = docs.select(*[c(n).alias(f"_{k}") for k, n in enumerate(carry)], F.coalesce(c(text_col), F.lit("")).alias("_text"))
+    kept = [T.StructField(f.name, f.dataType) for f in source.schema.fields[:-1]]
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("turn", T.IntegerType()), T.StructField("segment", T.LongType()), *kept, T.StructField("ids", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+
+    class Numbers(dict):
+        def __missing__(self, word):
+            n = self[word] = len(self)
+            return n
+
+    def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        seen: Counter[str] = Counter()
         claim()
-        row = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        segment, numbers, counts, types = TaskContext.get().partitionId() << 20, Numbers(), np.zeros(0, np.int64), []
+        names = schema.names
+
+        def rows(kind, turns, columns, ids, words, counts):
+            n = len(turns)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(turns, pa.int32()), pa.array([segment] * n, pa.int64()), *columns, pa.array(ids, pa.binary()), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], names=names)
+
+        def vocabulary():
+            return rows(1, [None], [pa.nulls(1, t) for t in types], [None], [list(numbers)], [counts])
+
+        for batch in batches:
+            last = batch.num_columns - 1
+            types = [batch.column(k).type for k in range(last)]
+            for at, texts in slices(batch.column(last)):
+                found = [WORD.findall(t.lower()) for t in texts]
+                ids = [np.fromiter(map(numbers.__getitem__, w), dtype="<u4", count=len(w)) for w in found]
+                more = np.bincount(np.concatenate(ids), minlength=len(numbers))
+                more[: len(counts)] += counts
+                counts = more
+                raw = [x.tobytes() for x in ids]
+                turns = [0 if zlib.crc32(x) % FIRST == 0 else 1 for x in raw]
+                yield rows(0, turns, [batch.column(k).slice(at, len(texts)) for k in range(last)], raw, [None] * len(raw), [None] * len(raw))
+                if len(numbers) >= SEGMENT_WORDS:
+                    yield vocabulary()
+                    segment, numbers, counts = segment + 1, Numbers(), np.zeros(0, np.int64)
+        if numbers:
+            yield vocabulary()
+
+    return saved(source.mapInArrow(run, schema), "lm-numbered")
+
+
+def word_table(table: DataFrame) -> DataFrame:
+    """A written table: word, n (its count in all documents), symbol, log_share (of the symbol's count)."""
+    spark = table.sparkSession
+    counts = saved(_words(table).groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+    top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(OWN).collect()]  # as many as the network has symbols for
+    own = spark.createDataFrame([(w, 1 + k) for k, w in enumerate(top)], "word string, own int")
+    ending = F.pmod(F.crc32(F.encode(F.substring("word", -2, 2), "utf-8")), F.lit(ENDINGS)).cast("int")
+    named = counts.join(F.broadcast(own), "word", "left").withColumn("symbol", F.coalesce("own", ending + (1 + OWN))).drop("own")
+    totals = named.groupBy("symbol").agg(F.sum("n").alias("total"))
+    return saved(named.join(F.broadcast(totals), "symbol").select("word", "n", "symbol", F.log(F.col("n") / F.col("total")).alias("log_share")), "lm-words")
+
+
+def _words(table: DataFrame) -> DataFrame:
+    """segment, at (the number), word, n."""
+    each = F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")
+    return table.where("kind = 1").select("segment", each).select("segment", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+
+
+def write_segments(table: DataFrame, words: DataFrame, path: str) -> None:
+    """A file for each segment: the symbol of each of its numbers, and the logarithm of the word's share in it."""
+    placed = _words(table).select("segment", "at", "word").join(words.select("word", "symbol", "log_share"), "word").select("segment", "at", "symbol", "log_share")
+    placed = placed.repartition(partitions(table.sparkSession), "segment").sortWithinPartitions("segment", "at")
+
+    def write(batches):
+        import pyarrow as pa
+
+        key, held = None, []
+
+        def flush():
+            symbols, shares = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            put(f"{path}/{key}.seg", symbols.astype("<u2").tobytes() + shares.astype("<f4").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([len(symbols)], pa.int64())], names=["segment", "words"])
+
         for batch in batches:
-            for _, some in slices(batch.column(0)):
-                for text in some:
-                    seen.update(WORD.findall(text.lower()))
-                if len(seen) > REMEMBERED:
-                    yield row()
-                    seen.clear()
-        yield row()
+            of, symbols, shares = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            edges = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)] if len(of) else np.zeros(0, int)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if held and int(of[a]) != key:
+                    yield flush()
+                    held = []
+                key = int(of[a])
+                held.append((symbols[a:b], shares[a:b]))
+        if held:
+            yield flush()
 
-    rows = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(SYMBOLS).collect()
-    return [r.word for r in rows]
+    saved(placed.mapInArrow(write, "segment long, words long"), "lm-segments", f"{path}/manifest")
 
 
-def train_on(texts: DataFrame, words: list[str], start: np.ndarray) -> np.ndarray:
-    """Weights after one pass over every token of all documents, the mean over tasks by tokens seen.
+class Segments:
+    """The files of segments, one in memory at a time."""
+
+    def __init__(self, path: str):
+        self.path, self.key = path, None
+
+    def of(self, segment: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, logarithms of shares) of a document's numbers."""
+        if segment != self.key:
+            data = get(f"{self.path}/{segment}.seg")
+            words = len(data) // 6
+            self.key, self.symbols, self.shares = segment, np.frombuffer(data, "<u2", words).astype(np.int32), np.frombuffer(data, "<f4", words, 2 * words)
+        ids = np.frombuffer(raw, "<u4")
+        return self.symbols[ids], self.shares[ids]
+
+
+def train_on(table: DataFrame, path: str, turn: int, start: np.ndarray) -> np.ndarray:
+    """Weights after one pass over every token of the documents of a turn, the mean over tasks by tokens seen.
 
     Each task sends its weights in chunks, times its tokens; chunks are added up as they stream by."""
-    shared = texts.sparkSession.sparkContext.broadcast((words, start))
+    spark = table.sparkSession
+    shared = spark.sparkContext.broadcast(start)
 
     def local(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words, start = shared.value
-        vocabulary, net, state, seen = Vocabulary(words), Net(start), {}, 0
-        ctx, target, have = [], [], 0
-        rng = np.random.default_rng(11)
         claim()
+        net, segments, seen, step = Net(shared.value), Segments(path), 0, STEPS[turn]
+        docs, have = [], 0
+        rng = np.random.default_rng(11)
 
         def learn():
-            nonlocal ctx, target, have, seen
-            x, y = np.concatenate(ctx, axis=1), np.concatenate(target)
+            nonlocal docs, have, seen
+            x, y = contexts(docs), np.concatenate(docs)
             order = rng.permutation(len(y))
-            for s in range(0, len(y), BATCH):
-                own = order[s : s + BATCH]
-                net.train(x[:, own], y[own], state)
+            for s in range(0, len(y), step):
+                own = order[s : s + step]
+                net.train(x[:, own], y[own])
             seen += len(y)
-            ctx, target, have = [], [], 0
+            docs, have = [], 0
 
         for batch in batches:
-            for _, some in slices(batch.column(0)):
-                for text in some:
-                    s = vocabulary.symbols(text)
-                    if len(s) == 0:
-                        continue
-                    ctx.append(contexts(s))
-                    target.append(s)
-                    have += len(s)
-                    if have >= 32 * BATCH:
+            for at, raw in slices(batch.column(1)):
+                for segment, ids in zip(batch.column(0).slice(at, len(raw)).to_pylist(), raw):
+                    if ids:
+                        docs.append(segments.of(segment, ids)[0])
+                        have += len(docs[-1])
+                    if have >= 16 * step:
                         learn()
         if have:
             learn()
@@ -244,73 +324,64 @@ def train_on(texts: DataFrame, words: list[str], start: np.ndarray) -> np.ndarra
         if key is not None:
             yield row()
 
-    n, kind = partitions(texts.sparkSession), "chunk int, salt int, seen long, v binary"
-    got = texts.mapInArrow(local, kind)
+    n, kind = partitions(spark), "chunk int, salt int, seen long, v binary"
+    got = table.where(F.col("turn") == turn).select("segment", "ids").mapInArrow(local, kind)
     got = got.repartition(n, "chunk", "salt").sortWithinPartitions("chunk", "salt").mapInArrow(add, kind)
     got = got.withColumn("salt", F.lit(0)).repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(add, kind)
-    out = start.copy()
+    out = np.array(start, dtype=np.float32)
     for r in got.collect():  # as many numbers as the network has, whatever the input
         v = np.frombuffer(r.v, np.float32)
         out[r.chunk * CHUNK : r.chunk * CHUNK + len(v)] = v / r.seen
     return out
 
 
-def first_weights(texts: DataFrame, words: list[str]) -> np.ndarray:
-    """Weights from every window of a few documents (those with the smallest hashes), on the driver."""
-    net, state, vocabulary = Net(), {}, Vocabulary(words)
-    hashes = texts.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(FIRST_DOCS)
-    some = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(hashes), "h", "left_semi").dropDuplicates(["h"]).orderBy("h")
-    held = [s for r in some.select("text").toLocalIterator() if len(s := vocabulary.symbols(r.text))]
-    if held:
-        x, y = np.concatenate([contexts(s) for s in held], axis=1), np.concatenate(held)
-        order = np.random.default_rng(5).permutation(len(y))[: 300 * BATCH]
-        for s in range(0, len(order), BATCH):
-            net.train(x[:, order[s : s + BATCH]], y[order[s : s + BATCH]], state)
-    return net.flat
-
-
-def pseudo_likelihood(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs' columns and n_tokens, log_probability (the sum over all tokens), mean_log_probability, pseudo_perplexity.
+def pseudo_likelihood(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """docs' columns (or those named in carry) and n_tokens, log_probability (the sum over all tokens),
+    mean_log_probability, pseudo_perplexity.
 
-    A null text counts as empty; a text without tokens has sum 0 and null means. An empty table gives an empty
-    result. Columns of docs with an output's name are replaced."""
+    A null text counts as empty; a text without tokens has sum 0 and null means. Repeated rows are scored alike. An
+    empty table gives an empty result. Texts of any length are scored whole. Columns of docs with an output's name
+    are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.coalesce(c(text_col), F.lit("")).alias("text"))
-    words = top_words(texts)
-    flat = train_on(texts, words, first_weights(texts, words))
-    shared = spark.sparkContext.broadcast((words, flat))
     out = ["n_tokens", "log_probability", "mean_log_probability", "pseudo_perplexity"]
-    rest = [n for n in docs.columns if n.lower() not in out]
-    source = docs.select(*[c(n) for n in rest], F.coalesce(c(text_col), F.lit("")).alias("_scored"))
-    fields = [*source.schema.fields[:-1], T.StructField("n_tokens", T.LongType())] + [T.StructField(n, T.DoubleType()) for n in out[1:]]
+    rest = [n for n in (docs.columns if carry is None else carry) if n.lower() not in out]
+    table = numbered(docs, text_col, rest)
+    path = scratch(spark, "lm")
+    write_segments(table, word_table(table), path)
+    flat = Net().flat
+    for turn in range(len(STEPS)):
+        flat = train_on(table, path, turn, flat)
+    shared = spark.sparkContext.broadcast(flat)
+    types = [docs.schema[n].dataType for n in rest]
+    fields = [T.StructField(n, t) for n, t in zip(rest, types)] + [T.StructField("n_tokens", T.LongType())] + [T.StructField(n, T.DoubleType()) for n in out[1:]]
 
     def run(batches):
         import pyarrow as pa
 
-        words, flat = shared.value
-        vocabulary, net = Vocabulary(words), Net(flat)
         claim()
+        net, segments = Net(shared.value), Segments(path)
         for batch in batches:
             last = batch.num_columns - 1
-            for at, some in slices(batch.column(last)):
-                docs = [vocabulary.symbols(t) for t in some]
-                n = np.array([len(s) for s in docs])
-                total = np.zeros(len(docs))
-                if n.sum():
-                    x, y = np.concatenate([contexts(s) for s in docs if len(s)], axis=1), np.concatenate(docs)
+            for at, raw in slices(batch.column(last)):
+                of = batch.column(last - 1).slice(at, len(raw)).to_pylist()
+                n = np.array([len(x) // 4 for x in raw])
+                total = np.zeros(len(raw))
+                full = np.flatnonzero(n)
+                if len(full):
+                    known = [segments.of(of[k], raw[k]) for k in full.tolist()]
+                    x, y = contexts([d for d, _ in known]), np.concatenate([d for d, _ in known])
                     p = np.concatenate([net.log_probabilities(x[:, s : s + 16384], y[s : s + 16384]) for s in range(0, len(y), 16384)]).astype(float)
-                    full = np.flatnonzero(n)
-                    total[full] = np.add.reduceat(p, (np.cumsum(n) - n)[full])
+                    total[full] = np.add.reduceat(p + np.concatenate([s for _, s in known]), (np.cumsum(n) - n)[full])
                 mean = [t / k if k else None for t, k in zip(total.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(at, len(some)) for i in range(last)), pa.array(n, pa.int64()), pa.array(total), pa.array(mean, pa.float64()), pa.array([None if m is None else float(np.exp(-m)) for m in mean], pa.float64())],
+                    [*(batch.column(i).slice(at, len(raw)) for i in range(last - 1)), pa.array(n, pa.int64()), pa.array(total), pa.array(mean, pa.float64()), pa.array([None if m is None else float(np.exp(-m)) for m in mean], pa.float64())],
                     names=[f.name for f in fields],
                 )
 
-    return source.toDF(*[f"_{k}" for k in range(len(source.columns))]).mapInArrow(run, T.StructType(fields))
+    return table.where("kind = 0").select(*[f"_{k}" for k in range(len(rest))], "segment", "ids").mapInArrow(run, T.StructType(fields))
 
 
 def op4_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudo_likelihood(docs).select("doc_id", "n_tokens", "log_probability", "mean_log_probability", "pseudo_perplexity")
+    return pseudo_likelihood(docs, carry=["doc_id"]).select("doc_id", "n_tokens", "log_probability", "mean_log_probability", "pseudo_perplexity")

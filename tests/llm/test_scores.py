@@ -1,5 +1,6 @@
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,25 +97,67 @@ def test_log_probabilities_are_a_distribution():
 def test_training_step_follows_the_gradient():
     rnd = np.random.default_rng(3)
     net, ctx, y = lm.Net(), rnd.integers(0, 50, (2 * lm.WINDOW, 256)), rnd.integers(0, 50, 256)
-    before, state = net.log_probabilities(ctx, y).mean(), {}
+    before = net.log_probabilities(ctx, y).mean()
     for _ in range(60):
-        net.train(ctx, y, state)
+        net.train(ctx, y)
     assert net.log_probabilities(ctx, y).mean() > before + 1
 
 
-def test_contexts():
-    assert lm.contexts(np.array([5, 6, 7], np.int32)).tolist() == [[0, 0, 5], [0, 5, 6], [6, 7, 0], [7, 0, 0]]
+def test_a_step_is_the_gradient_by_differences(monkeypatch):
+    rnd = np.random.default_rng(4)
+    start = rnd.normal(0, 0.3, len(lm.Net().flat)).astype(np.float32)
+    ctx, y = rnd.integers(0, 90, (2 * lm.WINDOW, 24)), rnd.integers(0, lm.SYMBOLS, 24)
+    net = lm.Net(start)
+    net.train(ctx, y)
+    moved = (net.flat - start).astype(float)
+    for k in np.r_[np.argsort(-np.abs(moved))[:5], rnd.choice(np.flatnonzero(moved), 20)]:
+        up, down = start.copy(), start.copy()
+        up[k] += 0.01
+        down[k] -= 0.01
+        g = -(lm.Net(up).log_probabilities(ctx, y).mean(dtype=float) - lm.Net(down).log_probabilities(ctx, y).mean(dtype=float)) / 0.02
+        assert abs(moved[k] + lm.RATE * g / np.sqrt(1e-3 + g * g)) < 5e-3
+    assert not moved[lm.SYMBOLS * lm.HIDDEN - lm.HIDDEN : lm.SYMBOLS * lm.HIDDEN].any()  # a symbol that isn't used
 
 
-def test_training_takes_every_token(spark):
-    texts, words = [f"w{k % 5} v{k % 3}" for k in range(40)], [f"{x}{k}" for x in "wv" for k in range(5)]
+def test_contexts():
+    docs = [np.array([5, 6, 7], np.int32), np.array([8], np.int32)]
+    assert lm.contexts(docs).tolist() == [[0, 0, 5, 0], [0, 5, 6, 0], [6, 7, 0, 0], [7, 0, 0, 0]]
+
+
+def brute_words(texts):
+    """word -> (symbol, logarithm of its share), by counting."""
+    counts = Counter(w for t in texts for w in lm.WORD.findall((t or "").lower()))
+    own = {w: 1 + k for k, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: lm.OWN])}
+    symbol = {w: own.get(w) or 1 + lm.OWN + zlib.crc32(w[-2:].encode()) % lm.ENDINGS for w in counts}
+    total = Counter()
+    for w, n in counts.items():
+        total[symbol[w]] += n
+    return {w: (symbol[w], np.log(n / total[symbol[w]])) for w, n in counts.items()}
+
+
+@pytest.mark.parametrize("own", [lm.OWN, 6])
+def test_training_takes_every_token(spark, monkeypatch, own):
+    monkeypatch.setattr(lm, "OWN", own)
+    monkeypatch.setattr(lm, "SEGMENT_WORDS", 5)
+    texts = [f"w{k % 5} v{k % 3}" + (" und mehr" if k % 7 == 0 else "") for k in range(90)]
     lm.small_batches(spark)
+    table = lm.numbered(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text", [])
+    words = lm.word_table(table)
+    want = brute_words(texts)
+    assert {r.word: (r.symbol, round(r.log_share, 9)) for r in words.collect()} == {w: (s, round(p, 9)) for w, (s, p) in want.items()}
+    path = lm.scratch(spark, "lm")
+    lm.write_segments(table, words, path)
     start = lm.Net().flat
-    got = lm.train_on(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), words, start)
-    symbols, net = [lm.Vocabulary(words).symbols(t) for t in texts], lm.Net(start)
-    order = np.random.default_rng(11).permutation(80)
-    net.train(np.concatenate([lm.contexts(s) for s in symbols], axis=1)[:, order], np.concatenate(symbols)[order], {})
-    assert np.allclose(got, net.flat, atol=1e-4)
+    for turn in (0, 1):
+        rows = table.where(F.col("turn") == turn).select("segment", "ids").coalesce(1).collect()
+        segments = lm.Segments(path)
+        docs = [segments.of(r.segment, bytes(r.ids))[0] for r in rows]
+        net, ctx, y = lm.Net(start), lm.contexts(docs), np.concatenate(docs)
+        order = np.random.default_rng(11).permutation(len(y))
+        net.train(ctx[:, order], y[order])
+        got = lm.train_on(table.coalesce(1), path, turn, start)
+        assert np.allclose(got, net.flat, atol=1e-4)
+    assert table.where("kind = 0").count() == len(texts) and {r.turn for r in table.select("turn").distinct().collect()} >= {0, 1}
 
 
 def test_pseudo_likelihood_tricky(spark):
@@ -127,6 +170,27 @@ def test_pseudo_likelihood_tricky(spark):
     assert lm.pseudo_likelihood(tricky(spark).limit(0)).count() == 0
 
 
+def test_query_op4_is_the_brute_force_sum(spark, monkeypatch):
+    """The registered query on the smallest tables, against a softmax written out over symbols and shares."""
+    sf = "/root/testdata/sf0.001"
+    seen = {}
+    train = lm.train_on
+    monkeypatch.setattr(lm, "train_on", lambda *a: seen.setdefault(a[2], train(*a)))
+    rows = {r.doc_id: r for r in QUERIES["op4_pseudo_likelihood"](spark, sf).collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert rows.keys() == texts.keys()
+    words, net = brute_words(texts.values()), lm.Net(seen[1])
+    around, bias, by_class, within = (x.astype(float) for x in (net.around, net.bias, net.by_class, net.within))
+    for i in sorted(texts, key=lambda i: (len(texts[i]), i))[:40]:
+        known = [words[w] for w in lm.WORD.findall(texts[i].lower())]
+        s, total = [0, 0, *(k for k, _ in known), 0, 0], 0.0
+        for at, (own, share) in enumerate(known):
+            h = np.append(np.tanh(around[0][s[at]] + around[1][s[at + 1]] + around[2][s[at + 3]] + around[3][s[at + 4]] + bias), 1)
+            z, y = h @ by_class, h @ within[own // lm.PER]
+            total += z[own // lm.PER] - np.log(np.exp(z).sum()) + y[own % lm.PER] - np.log(np.exp(y).sum()) + share
+        assert rows[i].n_tokens == len(known) and abs(rows[i].log_probability - total) < 1e-3 * max(1, len(known))
+
+
 def test_query_op4_tells_order(spark, sf):
     """Real texts score better than the same words in another order."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").select("doc_id", "text")
