@@ -1,8 +1,8 @@
 """Token ids in files: canonical length-limited Huffman codes from global counts, blocks that decode alone.
 
-A file (.hid) is: MAGIC; length of the header; header (JSON: code limit, ids a block, numbers of documents
-and ids); per document its number of ids (unsigned 32-bit); per block the bit at which it starts (unsigned
-64-bit); bits, most significant first, as big-endian 32-bit words. The code lengths, from which the canonical
+A file (.hid) is: MAGIC; length of the header; header (JSON: ids a block, numbers of documents and ids, bytes of
+names); the names of its documents (an Arrow stream of one column); per document its number of ids (unsigned
+32-bit); per block the bit at which it starts (unsigned 64-bit); bits, most significant first, as big-endian 32-bit words. The code lengths, from which the canonical
 codes follow, are in one file beside (codes.npz). A reader decodes all blocks of a file in step by one table."""
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .common import c, discard, partitions, row_hash, saved, scratch, small_batches
 from .tokens import MORE_WORDS, encoder, slices
 
-MAGIC = b"HID1"
+MAGIC = b"HID2"
 LIMIT, BLOCK, IDS_A_FILE = 16, 2048, 8_000_000
 END_ID = 0
 
@@ -96,7 +96,7 @@ def write_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple
     return words.astype(np.uint32), at
 
 
-def pack_file(ids: np.ndarray, doc_sizes: list[int], codes: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> bytes:
+def pack_file(ids: np.ndarray, doc_sizes: list[int], codes: np.ndarray, lengths: np.ndarray, block: int = BLOCK, names: bytes = b"") -> bytes:
     """The bytes of one file. Blocks are coded in groups, so that what is in memory beside the ids is bounded."""
     out, starts, bit = io.BytesIO(), [], 0
     group = 64 * block
@@ -117,17 +117,42 @@ def pack_file(ids: np.ndarray, doc_sizes: list[int], codes: np.ndarray, lengths:
         carried = int(bits[whole]) if free else 0
         bit += used
     out.write(np.array([carried, 0, 0], dtype=">u4").tobytes())  # a reader may look beyond the end
-    head = json.dumps({"block": block, "docs": len(doc_sizes), "ids": len(ids)}).encode()
+    head = json.dumps({"block": block, "docs": len(doc_sizes), "ids": len(ids), "names": len(names)}).encode()
     index = np.concatenate(starts) if starts else np.zeros(0, dtype=np.uint64)
-    return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, np.array(doc_sizes, dtype="<u4").tobytes(), index.astype("<u8").tobytes(), out.getvalue()])
+    return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, names, np.array(doc_sizes, dtype="<u4").tobytes(), index.astype("<u8").tobytes(), out.getvalue()])
 
 
-def unpack_file(raw: bytes, table: tuple[int, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, ids of each document)."""
+def as_names(column) -> bytes:
+    """An Arrow array as the bytes of a stream."""
+    import pyarrow as pa
+
+    out = io.BytesIO()
+    batch = pa.RecordBatch.from_arrays([column], names=["id"])
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return out.getvalue()
+
+
+def header(raw: bytes) -> tuple[dict, int]:
+    """(the header, where it ends)."""
     if raw[:4] != MAGIC:
         raise ValueError("not a file of ids")
     n = int.from_bytes(raw[4:8], "little")
-    head, at = json.loads(raw[8 : 8 + n]), 8 + n
+    return json.loads(raw[8 : 8 + n]), 8 + n
+
+
+def document_names(raw: bytes):
+    """The names of a file's documents, as an Arrow array."""
+    import pyarrow as pa
+
+    head, at = header(raw)
+    return pa.ipc.open_stream(raw[at : at + head["names"]]).read_all().column(0).combine_chunks()
+
+
+def unpack_file(raw: bytes, table: tuple[int, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ids of each document)."""
+    head, at = header(raw)
+    at += head["names"]
     sizes = np.frombuffer(raw, "<u4", head["docs"], at)
     at += 4 * head["docs"]
     blocks = -(-head["ids"] // head["block"])
@@ -222,10 +247,11 @@ def ordered_ids(docs: DataFrame, tokenizer: str, kind: str, path: str) -> DataFr
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of all documents, each followed by END_ID, in ascending order of id_col (nulls first, ties by
-    a hash of the row), to files below path, and return the manifest: file, part, at, ids (of documents), n_ids, first_start.
+    a hash of the row), to files below path, and return the manifest: file, part, at, first_id, n_ids, first_start.
 
-    A null text counts as empty: END_ID alone. The manifest is written last; files that it does not name are
-    left-overs of lost tasks."""
+    A null text counts as empty: END_ID alone. Texts of any length are coded whole; other columns are not written,
+    whatever their names. An empty table has a manifest without rows. The manifest is written last; files that it
+    does not name are left-overs of lost tasks."""
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(c(id_col).alias("id"), F.coalesce(c(text_col), F.lit("")).alias("text"))
@@ -248,8 +274,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
             nonlocal held, sizes, doc_ids, total
             ids = np.frombuffer(b"".join(held), kind)
             name = f"{path}/part-{part:06d}-{begin:012d}.hid"
-            put(name, pack_file(ids, sizes, codes, lengths))
-            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([begin], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids], pa.list_(id_type))], names=["file", "part", "at", "n_ids", "ids"])
+            put(name, pack_file(ids, sizes, codes, lengths, names=as_names(pa.array(doc_ids, id_type))))
+            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([begin], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array(doc_ids[:1], id_type)], names=["file", "part", "at", "n_ids", "first_id"])
             held, sizes, doc_ids, total = [], [], [], 0
             return row
 
@@ -270,7 +296,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
             yield flush()
 
     id_type_ddl = source.schema["id"].dataType.simpleString()
-    manifest = saved(coded.mapInArrow(write, f"file string, part int, at long, n_ids long, ids array<{id_type_ddl}>"), "manifest", f"{path}/manifest")
+    manifest = saved(coded.mapInArrow(write, f"file string, part int, at long, n_ids long, first_id {id_type_ddl}"), "manifest", f"{path}/manifest")
     discard(spark, ids_path)
     # Ids before each file: those of earlier parts (a number a part), then those before it in its own.
     start, rows = 0, []
@@ -291,9 +317,12 @@ def put_from_driver(spark, path: str, data: bytes) -> None:
 
 
 def read_ids(manifest: DataFrame, path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """Per document from the files: id_col, start (ids of all documents before it), n_tokens, ids_crc32 (and ids)."""
+    """Per document from the files: id_col, start (ids of all documents before it), n_tokens, ids_crc32 (and ids).
+
+    The manifest says which files count and at which id each begins; documents' ids and codes are in the files. A
+    null id is null again, a document of an empty text has END_ID alone, an empty manifest gives an empty result."""
     spark = manifest.sparkSession
-    id_type = manifest.schema["ids"].dataType.elementType
+    id_type = manifest.schema["first_id"].dataType
     fields = [T.StructField(id_col, id_type), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     if with_ids:
         fields.append(T.StructField("ids", T.BinaryType()))
@@ -306,21 +335,21 @@ def read_ids(manifest: DataFrame, path: str, id_col: str = "doc_id", with_ids: b
             for k in range(batch.num_rows):
                 if table is None:
                     table = tables(np.load(io.BytesIO(get(f"{path}/codes.npz")))["lengths"])
-                ids, sizes = unpack_file(get(batch.column(0)[k].as_py()), table)
-                names = batch.column(1)[k].values
-                if len(names) != len(sizes):
-                    raise ValueError("the file and its manifest differ")
+                file = get(batch.column(0)[k].as_py())
+                ids, sizes = unpack_file(file, table)
+                names = document_names(file)
+                del file
                 raw = ids.astype("<u4").tobytes()
                 ends = np.cumsum(sizes, dtype=np.int64)
                 starts = ends - sizes
                 for s in range(0, len(sizes), 2048):
                     own = [raw[4 * a : 4 * b] for a, b in zip(starts[s : s + 2048].tolist(), ends[s : s + 2048].tolist())]
-                    out = [names.slice(s, 2048), pa.array(starts[s : s + 2048] + batch.column(2)[k].as_py()), pa.array(sizes[s : s + 2048].astype(np.int64)), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                    out = [names.slice(s, 2048), pa.array(starts[s : s + 2048] + batch.column(1)[k].as_py()), pa.array(sizes[s : s + 2048].astype(np.int64)), pa.array([zlib.crc32(x) for x in own], pa.int64())]
                     if with_ids:
                         out.append(pa.array(own, pa.binary()))
                     yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
-    return manifest.select("file", "ids", "first_start").repartition(partitions(spark)).mapInArrow(read, T.StructType(fields))
+    return manifest.select("file", "first_start").repartition(partitions(spark)).mapInArrow(read, T.StructType(fields))
 
 
 def op9_huffman_ids(spark, sf_dir: str) -> DataFrame:

@@ -49,7 +49,8 @@ def latin_pattern(pattern: str) -> str:
 
 
 class Encoder:
-    """encode(texts) gives the ids of each as little-endian unsigned 32-bit integers, without special tokens."""
+    """encode(texts) gives the ids of each as little-endian unsigned 32-bit integers: those of the library as it is
+    loaded from the file, with add_special_tokens=False (a special token's string within a text is that token)."""
 
     def __init__(self, path: str):
         import re
@@ -57,10 +58,12 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings are ordinary text
+        # Pre-tokens are ordinary text; a text that holds a special token's string goes to the library whole.
+        self.tok, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = [a["content"] for a in spec.get("added_tokens") or []]
         self.find = None
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         parts = pre.get("pretokenizers", [pre])
@@ -90,10 +93,14 @@ class Encoder:
         return self.find(self.normalise(text)) if self.normalise else self.find_latin(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        by_library = lambda some: [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(some, add_special_tokens=False)]
         if self.find is None:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            return by_library(texts)
         known, out, late, missing = self.words, [], [], set()
         for text in texts:
+            if any(a in text for a in self.added):
+                out += by_library([text])
+                continue
             words = self.split(text)
             try:
                 out.append(b"".join(map(known.__getitem__, words)))
