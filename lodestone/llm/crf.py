@@ -204,7 +204,8 @@ def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
 
     labelled: rows of (text, toxic) to learn from; see TRAIN_* for how many are used, chosen by a hash of the
     text; of these a label's longest are left out while it has over half of the characters. Without a label of both kinds all scores are the share of toxic labels (0 if none). A null text counts
-    as empty; a text without words gets the score of no marginal. An empty table gives an empty result.
+    as empty; a text without words gets the score of no marginal, and no spans. Texts of any length are tagged
+    whole, repeated rows alike. An empty table gives an empty result.
     Columns of docs with an output's name are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -315,6 +316,6 @@ def labelled_rows(spark, sf_dir: str, docs: DataFrame) -> DataFrame:
 
 def op6_crf_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored = toxicity(docs, labelled_rows(spark, sf_dir, docs), with_spans=False)
+    scored = toxicity(docs, labelled_rows(spark, sf_dir, docs))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")

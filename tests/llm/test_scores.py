@@ -56,6 +56,26 @@ def test_toxicity_tricky(spark):
     assert crf.toxicity(tricky(spark).limit(0), labelled(spark)).count() == 0
 
 
+SPANS = [  # marked by hand
+    ("go on, you [vile wretch] and more", 1), ("[Wretch]! So plain; a [VILE] word", 1), ("plain words and more, so you go away", 0), ("[vile]", 1), ("é İ so many plain words, then a [wretch], and so on and so on", 1),
+    ("and a revile-free text of plain words", 0),
+]
+
+
+def test_spans_are_those_marked_by_hand(spark):
+    docs = spark.createDataFrame([(k, t.replace("[", "").replace("]", "")) for k, (t, _) in enumerate(SPANS)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in crf.toxicity(docs, labelled(spark)).collect()}
+    for k, (marked, toxic) in enumerate(SPANS):
+        want = []
+        while "[" in marked:
+            a = marked.index("[")
+            marked = marked.replace("[", "", 1)
+            want.append((a, marked.index("]")))
+            marked = marked.replace("]", "", 1)
+        assert [(s.start, s.end) for s in rows[k].spans] == want and all(0.5 < s.probability <= 1 for s in rows[k].spans)
+        assert (rows[k].score > 0.5) == bool(toxic)
+
+
 def test_toxicity_without_labels(spark):
     assert {r.score < 0.01 for r in crf.toxicity(tricky(spark), labelled(spark).limit(0)).collect()} == {True}
     assert {r.score > 0.99 for r in crf.toxicity(tricky(spark), labelled(spark).where("toxic = 1")).collect()} == {True}
@@ -78,6 +98,10 @@ def test_query_op6_on_held_out_labels(spark, sf):
     held = [(rows[r.doc_id], r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if rows[r.doc_id].held_out]
     hits = sum(p.predicted for p, y in held if y)
     assert sum(p.predicted for p, y in held if not y) == 0
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for i, r in rows.items():
+        assert all(0 <= s.start < s.end <= len(texts[i]) for s in r.spans) and all(a.end <= b.start for a, b in itertools.pairwise(r.spans))
+    assert all(p.spans for p, y in held if y and p.predicted)
     assert hits >= 0.7 * sum(y for _, y in held)  # some of these labels mark texts without any sign
 
 
