@@ -17,10 +17,11 @@ DISTANCES = {"l2": l2_distance, "cosine": cosine_distance, "ip": negative_inner_
 SAMPLE = 100_000
 
 
-def knn(df: DataFrame, vector_col: str, query: list[float], k: int, metric: str = "l2", key: str | None = None) -> DataFrame:
+def knn(df: DataFrame, vector_col: str, query: list[float], k: int, metric: str = "l2", key: str | None = None, nulls_first: bool = False) -> DataFrame:
     """The k rows nearest to query, with `distance`, ties by key: a scan that keeps k rows a task."""
     d = DISTANCES[metric](F.col(vector_col), F.lit([float(x) for x in query]))
-    order = [F.col("distance").asc_nulls_last()] + ([F.col(key)] if key else [])
+    d_order = F.col("distance").asc_nulls_first() if nulls_first else F.col("distance").asc_nulls_last()
+    order = [d_order] + ([F.col(key)] if key else [])
     return df.withColumn("distance", d).orderBy(*order).limit(k)
 
 
@@ -44,9 +45,9 @@ class IvfFlat:
     metric: str
 
     @staticmethod
-    def build(df: DataFrame, vector_col: str, nlists: int, metric: str = "l2", path: str | None = None, seed: int = 1) -> IvfFlat:
-        """Fit centroids on at most SAMPLE rows and assign every row. path: where the index is written; without, it
-        is a plan."""
+    def build(df: DataFrame, vector_col: str, nlists: int, metric: str = "l2", path: str | None = None, seed: int = 1) -> IvfFlat | None:
+        """Fit centroids on at most SAMPLE rows and assign every row; None if fewer than two have a vector. path: where
+        the index is written; without, it is a plan. Rows without a vector are in list -1, which every search reads."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
@@ -56,13 +57,17 @@ class IvfFlat:
             vec = F.transform(vec, lambda x: x / F.nullif(norm, F.lit(0.0)))
         full = df.where(F.col(vector_col).isNotNull())
         total = full.count()
+        if total < 2:
+            return None
+        nlists = min(nlists, total)
         fit_on = full.sample(min(1.0, SAMPLE / total), seed).limit(SAMPLE) if total > SAMPLE else full
         model = KMeans(k=nlists, seed=seed, maxIter=15, featuresCol="_f").fit(fit_on.select(array_to_vector(vec).alias("_f")))
         centroids = [[float(x) for x in v] for v in model.clusterCenters()]
         near = F.array_min(F.array(*[F.struct(l2_distance(vec, F.lit(v)).alias("d"), F.lit(i).alias("i")) for i, v in enumerate(centroids)])).getField("i")
-        rows = full.withColumn("_list", near)
+        rows = df.withColumn("_list", F.when(F.col(vector_col).isNull(), -1).otherwise(near))
         if path:
-            rows.repartition("_list").write.mode("overwrite").partitionBy("_list").parquet(path)
+            # Some tasks a list, so that a large one is not one task's; a task writes few lists' files.
+            rows.repartition("_list", F.pmod(F.xxhash64(vector_col), F.lit(8))).write.mode("overwrite").partitionBy("_list").parquet(path)
             rows = df.sparkSession.read.parquet(path)
         return IvfFlat(rows, centroids, vector_col, metric)
 
@@ -77,7 +82,8 @@ class IvfFlat:
         far = [(sum((a - b) ** 2 for a, b in zip(q, v)), i) for i, v in enumerate(self.centroids)]
         return [i for _, i in sorted(far)[:nprobe]]
 
-    def search(self, query: list[float], k: int, nprobe: int, key: str | None = None) -> DataFrame:
-        """The k nearest rows among those of the nprobe nearest lists: other lists' files are not read."""
-        some = self.rows.where(F.col("_list").isin(self.lists_for(query, nprobe)))
-        return knn(some, self.vector_col, query, k, self.metric, key).drop("_list")
+    def search(self, query: list[float], k: int, nprobe: int, key: str | None = None, nulls_first: bool = False) -> DataFrame:
+        """The k nearest rows among those of the nprobe nearest lists: other lists' files are not read. Rows without a
+        vector come last, or first as in a plain ORDER BY."""
+        some = self.rows.where(F.col("_list").isin([-1, *self.lists_for(query, nprobe)]))
+        return knn(some, self.vector_col, query, k, self.metric, key, nulls_first).drop("_list")

@@ -6,6 +6,8 @@ others are SQL that Spark and the checking engine read alike."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from ..sources.tables import TABLES, Tables, register_views
@@ -17,14 +19,25 @@ def m(x: str) -> str:
     return MONEY.format(x)
 
 
-PRICE = f"CAST({m('l_extendedprice')} * (1 - {m('l_discount')}) AS DECIMAL(38,4))"
-PS = "(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(CAST(l_extendedprice AS DECIMAL(15,2))) AS ps_supplycost, CAST(sum(l_quantity) AS BIGINT) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"
+#: A discounted price, within 18 digits, so that it stays a long; prices are below a million.
+PRICE = "CAST(l_extendedprice AS DECIMAL(8,2)) * (CAST(1 AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(3,2)))"
+
+
+def ps(where: str = "true") -> str:
+    """What stands for partsupp: the parts and suppliers of line items that a query wants, filtered before they are grouped."""
+    return f"(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(CAST(l_extendedprice AS DECIMAL(15,2))) AS ps_supplycost, CAST(sum(l_quantity) AS BIGINT) AS ps_availqty FROM lineitem WHERE {where} GROUP BY l_partkey, l_suppkey)"
+
+
+def parts(where: str) -> str:
+    return f"l_partkey IN (SELECT p_partkey FROM part WHERE {where})"
+
+
 day = lambda c: f"CAST({c} AS DATE)"
 num = lambda x: f"CAST({x} AS DOUBLE)"
 
 SQL = {
     "tpch_q02": f"""
-        WITH ps AS {PS}
+        WITH ps AS {ps(parts("p_size = 15"))}
         SELECT s_acctbal, s_name, n_name, p_partkey, {num('ps_supplycost')} AS supplycost
         FROM part JOIN ps ON p_partkey = ps_partkey JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         WHERE p_size = 15 AND r_name = 'EUROPE'
@@ -58,7 +71,7 @@ SQL = {
               WHERE r_name = 'AMERICA' AND o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND p_type = 'ECONOMY') AS all_nations
         GROUP BY o_year ORDER BY o_year""",
     "tpch_q09": f"""
-        WITH ps AS {PS}
+        WITH ps AS {ps(parts("p_name LIKE '%widget%'"))}
         SELECT nation, o_year, {num('sum(amount)')} AS sum_profit
         FROM (SELECT n_name AS nation, CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS o_year, CAST({PRICE} - CAST(ps_supplycost * {m('l_quantity')} AS DECIMAL(38,4)) / 10 AS DECIMAL(38,6)) AS amount
               FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN ps ON ps_suppkey = l_suppkey AND ps_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey
@@ -70,8 +83,8 @@ SQL = {
         WHERE o_orderdate >= DATE '1996-10-01' AND o_orderdate < DATE '1997-01-01' AND l_returnflag = 'R'
         GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
     "tpch_q11": f"""
-        WITH ps AS {PS}, own AS (SELECT ps_partkey, sum(CAST(ps_supplycost * ps_availqty AS DECIMAL(38,2))) AS v FROM ps JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7' GROUP BY ps_partkey)
-        SELECT ps_partkey, {num('v')} AS value FROM own WHERE v > (SELECT sum(v) * CAST(0.0015 AS DECIMAL(5,4)) FROM own) ORDER BY value DESC, ps_partkey""",
+        WITH ps AS {ps("l_suppkey IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7')")}, own AS (SELECT ps_partkey, sum(CAST(ps_supplycost * ps_availqty AS DECIMAL(38,2))) AS v FROM ps JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7' GROUP BY ps_partkey)
+        SELECT ps_partkey, {num('v')} AS value FROM own WHERE {num('v')} > (SELECT 1.5 * avg({num('v')}) FROM own) ORDER BY value DESC, ps_partkey""",
     "tpch_q12": """
         SELECT l_returnflag, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high_line_count, CAST(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS low_line_count
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey
@@ -87,7 +100,7 @@ SQL = {
         WITH revenue AS (SELECT l_suppkey AS supplier_no, sum({PRICE}) AS total_revenue FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-04-01' GROUP BY l_suppkey)
         SELECT s_suppkey, s_name, {num('total_revenue')} AS total_revenue FROM supplier JOIN revenue ON s_suppkey = supplier_no WHERE total_revenue = (SELECT max(total_revenue) FROM revenue) ORDER BY s_suppkey""",
     "tpch_q16": f"""
-        WITH ps AS {PS}
+        WITH ps AS {ps(parts("p_brand <> 'Brand#45' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (49, 14, 23, 45, 19, 3, 36, 9)"))}
         SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM ps JOIN part ON p_partkey = ps_partkey
         WHERE p_brand <> 'Brand#45' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (49, 14, 23, 45, 19, 3, 36, 9) AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
         GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size""",
@@ -105,7 +118,7 @@ SQL = {
            OR (p_partkey = l_partkey AND p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 25)
            OR (p_partkey = l_partkey AND p_brand = 'Brand#3' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 40)""",
     "tpch_q20": f"""
-        WITH ps AS {PS}
+        WITH ps AS {ps(parts("p_name LIKE '%widget%'"))}
         SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
         WHERE n_regionkey = 1 AND s_suppkey IN (SELECT ps_suppkey FROM ps WHERE ps_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE '%widget%')
               AND ps_availqty > (SELECT 0.5 * sum(l_quantity) FROM lineitem WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey AND l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1998-01-01'))
@@ -137,18 +150,25 @@ def sql_query(text: str):
     return run
 
 
+def exact(x, scale: int):
+    """The sum of whole numbers that stand for decimals of this scale, as a double. Upper and lower bits are added up
+    apart, so that both sums stay longs however many rows there are."""
+    high, low = F.sum(F.shiftright(x, 20)).cast("decimal(22,0)"), F.sum(x.bitwiseAND(F.lit((1 << 20) - 1))).cast("decimal(22,0)")
+    return ((high * F.lit(1 << 20).cast("decimal(7,0)") + low).cast("decimal(31,0)") * F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({scale},{scale})")).cast("double")
+
+
 def q1(spark, sf_dir):
-    """Pricing summary: one scan of seven columns, partial aggregates before the only exchange."""
-    d = lambda x: F.col(x).cast("decimal(15,2)")
-    disc = (d("l_extendedprice") * (1 - d("l_discount"))).cast("decimal(38,4)")
-    charge = (disc * (1 + d("l_tax"))).cast("decimal(38,6)")
-    dbl = lambda x: x.cast("double")
+    """Pricing summary: one scan of seven columns, partial aggregates of longs before the only exchange."""
+    cents = lambda x: F.round(F.col(x) * 100).cast("long")
+    quantity, price, discount, tax = (cents(f"l_{x}") for x in ("quantity", "extendedprice", "discount", "tax"))
+    disc = price * (100 - discount)
+    n = F.count(F.lit(1))
     return (
         Tables(spark, sf_dir).lineitem.where("l_shipdate <= DATE '2001-09-02'")
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
-            dbl(F.sum(d("l_quantity"))).alias("sum_qty"), dbl(F.sum(d("l_extendedprice"))).alias("sum_base_price"), dbl(F.sum(disc)).alias("sum_disc_price"), dbl(F.sum(charge)).alias("sum_charge"),
-            F.round(dbl(F.sum(d("l_quantity"))) / F.count(F.lit(1)), 4).alias("avg_qty"), F.round(dbl(F.sum(d("l_extendedprice"))) / F.count(F.lit(1)), 4).alias("avg_price"), F.round(dbl(F.sum(d("l_discount"))) / F.count(F.lit(1)), 4).alias("avg_disc"), F.count(F.lit(1)).alias("count_order"),
+            exact(quantity, 2).alias("sum_qty"), exact(price, 2).alias("sum_base_price"), exact(disc, 4).alias("sum_disc_price"), exact(disc * (100 + tax), 6).alias("sum_charge"),
+            F.round(exact(quantity, 2) / n, 4).alias("avg_qty"), F.round(exact(price, 2) / n, 4).alias("avg_price"), F.round(exact(discount, 2) / n, 4).alias("avg_disc"), n.alias("count_order"),
         )
         .orderBy("l_returnflag", "l_linestatus")
     )
@@ -166,7 +186,7 @@ QUERIES = dict(sorted(QUERIES.items()))
 
 ORACLE_SQL = SQL | {
     "tpch_q01": f"""
-        SELECT l_returnflag, l_linestatus, {num(f"sum({m('l_quantity')})")} AS sum_qty, {num(f"sum({m('l_extendedprice')})")} AS sum_base_price, {num(f'sum({PRICE})')} AS sum_disc_price, {num(f"sum(CAST({PRICE} * (1 + {m('l_tax')}) AS DECIMAL(38,6)))")} AS sum_charge,
+        SELECT l_returnflag, l_linestatus, {num(f"sum({m('l_quantity')})")} AS sum_qty, {num(f"sum({m('l_extendedprice')})")} AS sum_base_price, {num(f'sum({PRICE})')} AS sum_disc_price, {num(f"sum({PRICE} * (CAST(1 AS DECIMAL(3,2)) + CAST(l_tax AS DECIMAL(3,2))))")} AS sum_charge,
                round({num(f"sum({m('l_quantity')})")} / count(*), 4) AS avg_qty, round({num(f"sum({m('l_extendedprice')})")} / count(*), 4) AS avg_price, round({num(f"sum({m('l_discount')})")} / count(*), 4) AS avg_disc, count(*) AS count_order
         FROM lineitem WHERE l_shipdate <= DATE '2001-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
     "tpch_q06": f"SELECT {num(f'''sum(CAST({m('l_extendedprice')} * {m('l_discount')} AS DECIMAL(38,4)))''')} AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_quantity < 24 AND l_discount BETWEEN 0.045 AND 0.075",
