@@ -106,7 +106,8 @@ def likeness(a: str, b: str):
 def imatch(df: DataFrame, text_col: str = "text", least_share: float = 5e-4, most_share: float = 0.05) -> tuple[DataFrame, DataFrame, bool]:
     """(df with `fingerprint` array<int>, the lexicon table for fingerprints(), whether it is to be joined).
 
-    A null text counts as empty. Equal texts have equal fingerprints. An empty table gives an empty result."""
+    A null text counts as empty. Equal texts have equal fingerprints. Texts of any length are taken whole. A column
+    of df named fingerprint is replaced; no other name clashes. An empty table gives an empty result."""
     spark = df.sparkSession
     lex = saved(lexicon(df, text_col, least_share, most_share), "lexicon")
     joined = lex.count() > MOST_WORDS
@@ -118,13 +119,17 @@ def imatch(df: DataFrame, text_col: str = "text", least_share: float = 5e-4, mos
 
 def with_next(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     """df with, for each of cols, next_<col>: the value in the next row in descending order of id_col (nulls
-    last, ties by a hash of the row); the last row gets the first row's.
+    last, ties by a hash of the row); the last row gets the first row's. Ids are whole numbers (else a TypeError).
+    Columns of df that are named next_<col> are replaced; no other name clashes. An empty table gives an empty
+    result, a single row is its own next one.
 
     Rows go to buckets of id ranges at quantiles of the ids (found by binary search); the first row of each bucket
     also goes, marked, to the end of the bucket before, so each bucket is whole without another exchange."""
     spark = df.sparkSession
     n = min(2 * partitions(spark), MOST_BUCKETS)
-    ident, bucket, ghost, tie, places, table = free_names(df, "_ident", "_bucket", "_ghost", "_tie", "_places", "_cuts")
+    if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} is not a column of whole numbers")
+    ident, bucket, ghost, tie, places, table, head, ghost_of = free_names(df, "_ident", "_bucket", "_ghost", "_tie", "_places", "_cuts", "_head", "_ghost_of")
     number = F.coalesce(c(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
     ids = df.select(number.alias(ident))
     found = ids.agg(F.percentile_approx(ident, [k / n for k in range(1, n)], 10 * n).alias(table))
@@ -137,10 +142,10 @@ def with_next(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     order = sorted(heads)
     before = {b: order[k - 1] for k, b in enumerate(order)}  # the first follows the last
     step = placed(df.withColumn(ident, number)).withColumn(tie, row_hash(df))
-    back = spark.createDataFrame([(heads[b], before[b]) for b in order], "head_id long, ghost_bucket int")  # a row a bucket
-    step = step.join(F.broadcast(back), F.col(ident) == F.col("head_id"), "left")
+    back = spark.createDataFrame([(heads[b], before[b]) for b in order], f"`{head}` long, `{ghost_of}` int")  # a row a bucket
+    step = step.join(F.broadcast(back), F.col(ident) == F.col(head), "left")
     own = F.struct(F.col(bucket).alias("b"), F.lit(False).alias("g"))
-    step = step.withColumn(places, F.when(F.col("head_id").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("ghost_bucket").alias("b"), F.lit(True).alias("g")))))
+    step = step.withColumn(places, F.when(F.col(head).isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col(ghost_of).alias("b"), F.lit(True).alias("g")))))
     step = step.select(*[c(x) for x in df.columns], ident, tie, F.explode(places).alias(places)).select(*[c(x) for x in df.columns], ident, tie, F.col(f"{places}.b").alias(bucket), F.col(f"{places}.g").alias(ghost))
     w = Window.partitionBy(bucket).orderBy(F.col(ghost), F.col(ident).desc(), F.col(tie))
     for x in cols:

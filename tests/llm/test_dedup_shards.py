@@ -3,10 +3,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup as ed
 from lodestone.llm import feistel_shards as fs
+from lodestone.llm import imatch as im
 from lodestone.llm.queries import QUERIES
 
 from .helpers import TRICKY, tricky
@@ -101,3 +104,103 @@ def test_query_op10(spark, tiny):
         raw = (docs[r.doc_id] or "").encode()
         at = brute_position(order[r.doc_id], len(docs), 2024)
         assert (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", at % 40, at // 40, None)
+
+
+# -- fingerprints by the definitions, without Spark -------------------------------------------------------------
+
+M32, M64 = 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
+
+
+def rotated(x, n):
+    return ((x << n) | (x >> (32 - n))) & M32
+
+
+def mix(h, k):
+    k = (rotated(k * 0xCC9E2D51 & M32, 15) * 0x1B873593) & M32
+    return (rotated(h ^ k, 13) * 5 + 0xE6546B64) & M32
+
+
+def finish(h, n):
+    h ^= n
+    h = ((h ^ (h >> 16)) * 0x85EBCA6B) & M32
+    h = ((h ^ (h >> 13)) * 0xC2B2AE35) & M32
+    return h ^ (h >> 16)
+
+
+def murmur_long(x, seed):
+    return finish(mix(mix(seed, x & M32), (x >> 32) & M32), 8)
+
+
+def murmur_text(text, seed=42):
+    raw, h = text.encode(), seed
+    for k in range(0, len(raw) // 4 * 4, 4):
+        h = mix(h, int.from_bytes(raw[k : k + 4], "little"))
+    for b in raw[len(raw) // 4 * 4 :]:
+        h = mix(h, (b - 256 if b > 127 else b) & M32)
+    return finish(h, len(raw))
+
+
+def brute_words(text):
+    return sorted({w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w})
+
+
+def brute_print(text, lexicon):
+    words = brute_words(text)
+    terms = []
+    for w in [w for w in words if w in lexicon] or words:
+        h = xxhash.xxh64_intdigest(b"lexicon", xxhash.xxh64_intdigest(w.encode(), 42))
+        bits, at = set(), 0
+        for level, cells in enumerate(im.CELLS):
+            cell = (h >> at) & (cells - 1)
+            if cell < im.SUBSETS:
+                bits.add(cell + im.SUBSETS * level)
+            at += cells.bit_length() - 1
+        terms.append((h, bits))
+
+    def hashed(some):
+        seed = 42
+        for h, bits in some:
+            seed = murmur_long(sum(1 << b for b in bits), murmur_long(h, seed))
+        return seed
+
+    return [hashed(terms) if terms else murmur_text(text.lower())] + [hashed([t for t in terms if k in t[1]]) for k in range(im.SUBSETS * len(im.CELLS))]
+
+
+def brute_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    pairs = [None if x == y == im.EMPTY else x == y for x, y in zip(a[1:], b[1:])]
+    for level in reversed(range(len(im.CELLS))):
+        own = [p for p in pairs[im.SUBSETS * level : im.SUBSETS * (level + 1)] if p is not None]
+        if len(own) >= im.LEAST_INFORMED:
+            return sum(own) / len(own)
+    own = [p for p in pairs if p is not None]
+    return sum(own) / len(own) if own else 0.0
+
+
+def test_query_op3_is_the_definition(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    counts = Counter(w for t in texts.values() for w in brute_words(t))
+    lexicon = {w for w, n in counts.items() if max(2.0, 5e-4 * len(texts)) <= n <= max(2.0, 0.05 * len(texts))}
+    own = {i: brute_print(t, lexicon) for i, t in texts.items()}
+    order = sorted(texts, reverse=True)
+    rows = {r.doc_id: r for r in QUERIES["op3_imatch"](spark, sf).collect()}
+    assert rows.keys() == texts.keys()
+    text_of = lambda prints: "".join(f"{x:08X}" for x in prints)
+    for k, i in enumerate(order):
+        following = order[(k + 1) % len(order)]
+        t, n = texts[i], len(texts[i]) // 3
+        edited = brute_print(t[: len(t) - n] + texts[following][:n], lexicon)
+        r = rows[i]
+        assert r.fingerprint == text_of(own[i]) and r.edited_fingerprint == text_of(edited)
+        assert abs(r.near_edited - brute_likeness(own[i], edited)) < 1e-12 and abs(r.near_next - brute_likeness(own[i], own[following])) < 1e-12
+
+
+def test_neighbours_bear_any_names(spark):
+    rows = [(k, f"t{k}", "x", "y") for k in range(50)]
+    df = spark.createDataFrame(rows, "id long, text string, head_id string, ghost_bucket string").withColumn("_head", F.lit(1)).withColumn("_places", F.lit(2))
+    got = {r.id: r.next_text for r in im.with_next(df, "id", ["text"]).collect()}
+    assert got == {k: f"t{(k - 1) % 50}" for k in range(50)}
+    with pytest.raises(TypeError):
+        im.with_next(df.withColumn("id", F.col("id").cast("string")), "id", ["text"])
