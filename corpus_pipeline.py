@@ -54,7 +54,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Scores, samples and packing are not expressible in SQL; tests/llm/test_pipeline.py checks the rows by brute force.
+#: Scores, samples and packing are not expressible in SQL; tests/llm/test_near_pipeline.py checks the rows by brute force.
 ORACLE_SQL = None
 
 
