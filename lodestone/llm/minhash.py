@@ -1,8 +1,9 @@
 """Near duplicates by improved consistent weighted sampling (ICWS).
 
 A text is the weighted set of its word shingles; the weight is the count in the text times a smoothed inverse
-document frequency between 1 and 2. Frequencies of all documents are kept in a hashed vector of fixed size,
-less what an average slot holds. ICWS draws samples that two sets share with a chance equal to their weighted
+document frequency between 1 and 2, which tells apart shares of documents from RARE upwards. Frequencies of all
+documents are kept in a hashed vector, less what an average slot holds: of shares, a slot's error falls with the
+root of the number of documents, so one size of vector serves every number of them. ICWS draws samples that two sets share with a chance equal to their weighted
 Jaccard similarity; bands of samples give buckets, and pairs from buckets are verified on whole texts.
 
 Equal texts go as one. In each of its buckets a text is compared with the bucket's first member, its pivot; texts
@@ -11,7 +12,7 @@ pivot) are opened: small ones are finished by comparing outliers with all that a
 ones (a group of thousands of copies of a copy, texts that share a long passage) are split by more samples, and
 the parts' members are compared with the parts' pivots. What is still apart in a large bucket then is compared
 whole, in blocks: every member outside its largest component with every other member, by one product of
-matrices a pair of blocks. So all pairs of a bucket end in one component or have been compared; the last step's
+matrices a pair of blocks. Rows of one bucket or pivot are always met in parts, as one may hold a third of all. So all pairs of a bucket end in one component or have been compared; the last step's
 work grows with a bucket's outliers times its members. Links are made components by contraction of tables."""
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import c, claim, free_names, partitions, saved, scratch, small_batches
@@ -32,6 +33,8 @@ SAMPLES = BANDS * ROWS
 FINER = 4
 #: Slots of document frequencies, and those in one row.
 SLOTS, CHUNK = 1 << 20, 1 << 15
+#: Shingles in a smaller share of documents weigh as much as those in this one.
+RARE = 1 / 1024
 #: Buckets up to this size are finished at once.
 SMALL = 32
 #: A table of needed rows up to this many is sent to all executors (16 bytes each).
@@ -144,9 +147,9 @@ def document_frequencies(texts: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def idf_vector(df: np.ndarray, documents: int) -> np.ndarray:
-    """1 (in all documents) to 2 (in one): 1 + log((n + 1) / (df + 1)) / log(n + 1), df less the mean of all slots."""
+    """1 (in all documents) to 2 (in a share of RARE or less), by the logarithm of the share; df less the mean of all slots."""
     own = np.clip(df - df.mean(), 0, documents)
-    return (1 + np.log((documents + 1) / (own + 1)) / np.log(documents + 2)).astype(np.float32)
+    return (1 + np.minimum(1, np.log((documents + 1) / (own + 1)) / -np.log(RARE))).astype(np.float32)
 
 
 @lru_cache(1)
@@ -229,8 +232,7 @@ def _verified(pairs: DataFrame, base: DataFrame, idf, similarity: float, words:
     need = pairs.select(F.col("p").alias("rid")).union(pairs.select(F.col("m").alias("rid"))).distinct()
     need = saved(need, f"{label}-need")
     texts = base.select("rid", "text").join(F.broadcast(need) if need.count() <= FEW_ROWS else need, "rid", "left_semi")
-    degree = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(degree, "p").withColumn("salt", F.pmod(F.hash("m"), F.ceil(F.col("n") / A_TASK).cast("int"))).drop("n")
+    dealt = _sized(pairs, "p", "m").select("p", "m", F.pmod(F.hash("m"), F.ceil(F.col("n") / A_TASK).cast("int")).alias("salt"))
     members = dealt.join(texts.withColumnRenamed("rid", "m"), "m").select("p", "salt", "m", "text")
     pivots = dealt.select("p", "salt").distinct().join(texts.withColumnRenamed("rid", "p"), "p").select("p", "salt", F.lit(None).cast("long").alias("m"), "text")
     rows = members.unionByName(pivots).repartition(partitions(base.sparkSession), "p", "salt").sortWithinPartitions("p", "salt", F.col("m").asc_nulls_first())
@@ -294,10 +296,26 @@ def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """The rows whose bucket has another one."""
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return rows.join(shared, "bucket").select("node", "bucket")
+def _sized(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """rows with n, the number of rows of their key, and least, its smallest member. A key's rows are counted and
+    given these in as many parts as there are partitions."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(member), F.lit(partitions(rows.sparkSession))))
+    parts = dealt.groupBy(key, "part").agg(F.min(member).alias("least"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(key)
+    parts = parts.select(key, "part", F.min("least").over(w).alias("least"), F.sum("n").over(w).alias("n"))
+    return dealt.join(parts, [key, "part"]).drop("part")
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    """The rows whose bucket has another one, with its first node p and its size n."""
+    return _sized(rows, "bucket", "node").where("n > 1").select("node", "bucket", F.col("least").alias("p"), "n")
+
+
+def _told(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows (of _members) joined with buckets, a row for each bucket and its size n: large ones in parts."""
+    parts = F.ceil(F.col("n") / A_TASK)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    return dealt.join(buckets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), ["bucket", "n", "part"]).drop("part")
 
 
 def _finer():
@@ -308,17 +326,15 @@ def _finer():
 
 def _star(rows: DataFrame) -> DataFrame:
     """Pairs of each bucket's first node with its others."""
-    first = rows.groupBy("bucket").agg(F.min("node").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(first, "bucket").where("node > p").select("p", F.col("node").alias("m")).distinct()
+    return rows.where("node > p").select("p", F.col("node").alias("m")).distinct()
 
 
 def _outliers(rows: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all members, outliers) of the buckets with nodes in another component than their first node's; with comp, p and the size n."""
-    placed = saved(_with_comp(rows, comps), "placed")
-    first = placed.groupBy("bucket").agg(F.min_by("comp", "node").alias("pivot_comp"), F.min("node").alias("p"), F.count(F.lit(1)).alias("n"), F.countDistinct("comp").alias("kinds"))
-    first = first.where("n > 2 AND kinds > 1").drop("kinds")
-    members = saved(placed.join(first, "bucket"), "open")
-    return members, members.where("comp != pivot_comp")
+    """(all members, outliers) of the buckets with nodes in another component than their first node's; with comp and pivot_comp."""
+    placed = saved(_with_comp(rows.where("n > 2"), comps), "placed")
+    placed = saved(_told(placed, placed.where("node = p").select("bucket", "n", F.col("comp").alias("pivot_comp"))), "placed")
+    outliers = placed.where("comp != pivot_comp")
+    return saved(_told(placed, outliers.select("bucket", "n").distinct()), "open"), outliers
 
 
 def _cross(members: DataFrame, outliers: DataFrame) -> DataFrame:
@@ -380,14 +396,14 @@ def linked_across(found: list[tuple], similarity: float) -> list[tuple]:
 def _crossed(rows: DataFrame, comps: DataFrame, base: DataFrame, idf, similarity: float, words: int) -> DataFrame:
     """Links between components within the buckets of more than SMALL nodes: all members outside a bucket's largest
     component are compared with all others, in blocks that hash values of the nodes choose."""
-    placed = saved(_with_comp(rows, comps), "placed")
-    kinds = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    size = kinds.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where(f"n > {SMALL} AND kinds > 1")
-    lefts, rights = F.ceil((F.col("n") - F.col("main.n")) / BLOCK), F.ceil(F.col("main.n") / BLOCK)
-    size = size.select("bucket", F.col("main.comp").alias("main"), lefts.alias("lefts"), rights.alias("rights"))
+    placed = saved(_with_comp(rows.where(F.col("n") > SMALL), comps), "placed")
+    kinds = placed.groupBy("bucket", "n", "comp").agg(F.count(F.lit(1)).alias("held"))
+    size = kinds.groupBy("bucket", "n").agg(F.max(F.struct("held", "comp")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    lefts, rights = F.ceil((F.col("n") - F.col("main.held")) / BLOCK), F.ceil(F.col("main.held") / BLOCK)
+    size = size.select("bucket", "n", F.col("main.comp").alias("main"), lefts.alias("lefts"), rights.alias("rights"))
     left = F.col("comp") != F.col("main")
     block = F.when(left, F.pmod(F.xxhash64("node"), "lefts")).otherwise(F.col("lefts") + F.pmod(F.xxhash64("node"), "rights"))
-    dealt = placed.join(size, "bucket").select("bucket", "node", "comp", "lefts", left.alias("left"), block.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.when(left, F.col("lefts") + F.col("rights")).otherwise(F.col("lefts")) - 1)).alias("other"))
+    dealt = _told(placed, size).select("bucket", "node", "comp", "lefts", left.alias("left"), block.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.when(left, F.col("lefts") + F.col("rights")).otherwise(F.col("lefts")) - 1)).alias("other"))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", (F.col("left") & (F.col("own") <= F.col("other"))).alias("left"))
     dealt = saved(dealt, "blocks")
     need = saved(dealt.select(F.col("node").alias("rid")).distinct(), "blocks-need")
@@ -442,14 +458,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = members.where("rid = node AND samples IS NOT NULL").select("node", "samples")
 
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("samples", b * ROWS + 1, ROWS))))
-    rows = saved(_repeated(own.select("node", band.alias("b", "bucket")).select("node", "bucket")), "buckets")
+    rows = saved(_members(own.select("node", band.alias("b", "bucket")).select("node", "bucket")), "buckets")
     links = _verified(_star(rows), base, idf, similarity, words, "first")
     comps = components(links)
 
     # Small buckets are finished; large ones are split by more samples, and then what is still apart in them is compared whole.
     open_members, outliers = _outliers(rows, comps)
     large = open_members.where(F.col("n") > SMALL).select("bucket", "node")
-    finer = saved(_repeated(large.join(own, "node").select("node", F.explode(_finer()).alias("bucket"))), "finer")
+    finer = saved(_members(large.join(own, "node").select("node", F.explode(_finer()).alias("bucket"))), "finer")
     pairs = _cross(open_members.where(F.col("n") <= SMALL), outliers.where(F.col("n") <= SMALL)).union(_star(finer)).distinct()
     second = _verified(pairs, base, idf, similarity, words, "second")
     links = links.union(second)
