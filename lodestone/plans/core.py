@@ -367,8 +367,8 @@ same("win_partition_total", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_cu
 same("win_expr_over", "SELECT o_orderkey, o_orderkey * 10 - min(o_orderkey) OVER (PARTITION BY o_custkey) AS gap FROM orders")
 same("win_after_group", "SELECT o_custkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS place FROM orders GROUP BY o_custkey")
 same("win_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before_it FROM orders")
-same("sort_multi", "SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand DESC, p_size, p_partkey DESC LIMIT 200")
-same("sort_nulls", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality ASC NULLS FIRST, d.doc_id LIMIT 650")
+same("sort_multi", "SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand DESC, p_size, p_partkey DESC")
+same("sort_nulls", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality ASC NULLS FIRST, d.doc_id")
 same("limit_offset", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")
 
 

@@ -108,10 +108,10 @@ SQL = {
         SELECT round({num(f"sum({m('l_extendedprice')})")} / 7.0, 4) AS avg_yearly FROM lineitem JOIN part ON p_partkey = l_partkey
         WHERE p_brand = 'Brand#12' AND l_quantity < (SELECT 0.5 * avg(l2.l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)""",
     "tpch_q18": f"""
-        SELECT c_name, c_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice, {num(f"sum({m('l_quantity')})")} AS sum_qty
-        FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
-        WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum({m('l_quantity')}) > 200)
-        GROUP BY c_name, c_custkey, o_orderkey, CAST(o_orderdate AS DATE), o_totalprice ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 100""",
+        SELECT c_name, c_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice, {num('qty')} AS sum_qty
+        FROM (SELECT l_orderkey, sum({m('l_quantity')}) AS qty FROM lineitem GROUP BY l_orderkey HAVING sum({m('l_quantity')}) > 200) AS big
+        JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+        ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 100""",
     "tpch_q19": f"""
         SELECT {num(f'sum({PRICE})')} AS revenue FROM lineitem, part
         WHERE (p_partkey = l_partkey AND p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15)
