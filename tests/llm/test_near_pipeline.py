@@ -150,6 +150,25 @@ def test_query_op8(spark, sf):
     assert wrong <= 0.005 * len(rows)
 
 
+def test_weights_follow_shares_of_documents_at_every_size():
+    for n in (20_000, 2_000_000, 200_000_000):
+        df = np.random.default_rng(1).poisson(3e-4 * n, mh.SLOTS)
+        df[:3] += np.array([n, n // 64, n // 4])
+        idf = mh.idf_vector(df, n)
+        assert idf[:3] == pytest.approx([1, 1.6, 1.2], abs=0.01)
+        assert idf[3:].min() > 1.97 and idf.max() == 2
+
+
+def test_members_of_hot_buckets_are_told_of_them(spark):
+    rows = spark.range(3001).selectExpr("id AS node", "CASE WHEN id < 2000 THEN 1 WHEN id < 3000 THEN id DIV 2 ELSE -1 END AS bucket")
+    got = mh._members(rows).collect()
+    sizes = {r.bucket: (r.p, r.n) for r in got}
+    assert len(got) == 3000 and sizes[1] == (0, 2000) and sizes[1000] == (2000, 2) and -1 not in sizes
+    members = mh._members(rows)
+    assert mh._told(members, members.where("node = p").selectExpr("bucket", "n", "node AS told")).where("told != p").count() == 0
+    assert mh._told(members, members.where("node = p").select("bucket", "n")).count() == 3000
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 102), (50, 102)], "p long, m long")
     got = {r.node: r.comp for r in mh.components(links).collect()}
