@@ -20,8 +20,8 @@ SLOTS = 1 << 15
 #: A lexicon beyond this many words is joined instead of sent to all executors.
 MOST_WORDS = 1_000_000
 LEAST_INFORMED = 6
-#: Id ranges that neighbours are found in.
-MOST_BUCKETS = 1 << 16
+#: Buckets that neighbours are found in: bytes of one, their greatest number, and what a row counts beside its strings.
+BUCKET_BYTES, MOST_BUCKETS, ROW_BYTES = 64 << 20, 1 << 18, 256
 #: What hash() gives for an empty array.
 EMPTY = 42
 
@@ -117,46 +117,69 @@ def imatch(df: DataFrame, text_col: str = "text", least_share: float = 5e-4, mos
     return out, table, joined
 
 
-def with_next(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
-    """df with, for each of cols, next_<col>: the value in the next row in descending order of id_col (nulls
-    last, ties by a hash of the row); the last row gets the first row's. Ids are whole numbers (else a TypeError).
-    Columns of df that are named next_<col> are replaced; no other name clashes. An empty table gives an empty
-    result, a single row is its own next one.
+def bucket_starts(df: DataFrame, size, order: list[str], least: int) -> tuple[DataFrame, int]:
+    """(one row with an array of the keys at which buckets begin, their greatest number), for the rows of df in
+    ascending order of two whole-number columns: each bucket has about the same sum of size.
 
-    Rows go to buckets of id ranges at quantiles of the ids (found by binary search); the first row of each bucket
-    also goes, marked, to the end of the bucket before, so each bucket is whole without another exchange."""
+    Only these columns are exchanged. The driver gets a number a partition."""
+    spark = df.sparkSession
+    slim = saved(df.select(c(order[0]).alias("a"), c(order[1]).alias("b"), size.alias("size")), "sizes")
+    ranged = saved(slim.repartitionByRange(partitions(spark), "a", "b").withColumn("part", F.spark_partition_id()), "ranges")
+    sums = sorted((r[0], r[1]) for r in ranged.groupBy("part").agg(F.sum("size")).collect())
+    total = sum(s for _, s in sums)
+    n = min(max(1, least, -(-total // BUCKET_BYTES)), MOST_BUCKETS)
+    a_bucket = max(1, -(-total // n))
+    rows, at = [], 0
+    for part, s in sums:
+        rows.append((part, at))
+        at += s
+    before = ranged.join(F.broadcast(spark.createDataFrame(rows, "part int, held long")), "part")  # a row for each partition
+    own = Window.partitionBy("part").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    place = before.select("a", "b", ((F.col("held") + F.coalesce(F.sum("size").over(own), F.lit(0))) / F.lit(a_bucket)).cast("long").alias("bucket"))
+    starts = place.groupBy("bucket").agg(F.min(F.struct("a", "b")).alias("key"))
+    return starts.agg(F.sort_array(F.collect_set("key")).alias("starts")), n
+
+
+def with_next(df: DataFrame, id_col: str, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """df with, for each of cols, next_<col>: the value in the next row in descending order of id_col (nulls
+    last, ties by a hash of the columns `by`, or of all); the last row gets the first row's. Ids are whole numbers
+    (else a TypeError). Columns of df that are named next_<col> are replaced; no other name clashes. An empty table
+    gives an empty result, a single row is its own next one.
+
+    Rows go to buckets that follow each other in this order, of about BUCKET_BYTES of the strings among `by` (more
+    beyond MOST_BUCKETS of them) or less; rows of one id may part, only rows whose hashes agree too may not. The
+    first row of each bucket also goes, marked, to the end of the bucket before, so each bucket is whole in the one
+    exchange that carries full rows."""
     spark = df.sparkSession
-    n = min(2 * partitions(spark), MOST_BUCKETS)
     if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError(f"{id_col} is not a column of whole numbers")
-    ident, bucket, ghost, tie, places, table, head, ghost_of = free_names(df, "_ident", "_bucket", "_ghost", "_tie", "_places", "_cuts", "_head", "_ghost_of")
+    down, tie, bucket, ghost, places, table = free_names(df, "_down", "_tie", "_bucket", "_ghost", "_places", "_starts")
+    known = df.select(*[c(x) for x in by or df.columns])
+    strings = [F.coalesce(F.octet_length(c(x)), F.lit(0)).cast("long") for x, t in known.dtypes if t in ("string", "binary")]
     number = F.coalesce(c(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
-    ids = df.select(number.alias(ident))
-    found = ids.agg(F.percentile_approx(ident, [k / n for k in range(1, n)], 10 * n).alias(table))
-    cuts = saved(found.select(F.coalesce(F.sort_array(F.array_distinct(table)), F.array().cast("array<long>")).alias(table)), "cuts")
+    keyed = df.withColumn(down, F.bitwise_not(number)).withColumn(tie, row_hash(known))  # ~x falls as x rises
+    found, n = bucket_starts(keyed, sum(strings, F.lit(ROW_BYTES).cast("long")), [down, tie], 2 * partitions(spark))
+    starts = saved(found.withColumnRenamed("starts", table), "starts")
+    key = f"named_struct('a', {down}, 'b', {tie})"
     middle = "CAST((s.lo + s.hi) DIV 2 AS INT)"
-    step = f"if(s.lo >= s.hi, s, if({table}[{middle}] <= {ident}, named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle})))"
+    step = f"if(s.lo >= s.hi, s, if({table}[{middle}] <= {key}, named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle})))"
     at_most = f"aggregate(sequence(0, {n.bit_length()}), named_struct('lo', 0, 'hi', size({table})), (s, k) -> {step}, s -> s.lo)"
-    placed = lambda rows: rows.withColumn(table, cuts.scalar()).withColumn(bucket, F.expr(f"size({table}) - {at_most}")).drop(table)
-    heads = {r.b: r.i for r in placed(ids).groupBy(F.col(bucket).alias("b")).agg(F.max(ident).alias("i")).collect()}
-    order = sorted(heads)
-    before = {b: order[k - 1] for k, b in enumerate(order)}  # the first follows the last
-    step = placed(df.withColumn(ident, number)).withColumn(tie, row_hash(df))
-    back = spark.createDataFrame([(heads[b], before[b]) for b in order], f"`{head}` long, `{ghost_of}` int")  # a row a bucket
-    step = step.join(F.broadcast(back), F.col(ident) == F.col(head), "left")
-    own = F.struct(F.col(bucket).alias("b"), F.lit(False).alias("g"))
-    step = step.withColumn(places, F.when(F.col(head).isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col(ghost_of).alias("b"), F.lit(True).alias("g")))))
-    step = step.select(*[c(x) for x in df.columns], ident, tie, F.explode(places).alias(places)).select(*[c(x) for x in df.columns], ident, tie, F.col(f"{places}.b").alias(bucket), F.col(f"{places}.g").alias(ghost))
-    w = Window.partitionBy(bucket).orderBy(F.col(ghost), F.col(ident).desc(), F.col(tie))
+    placed = keyed.withColumn(table, starts.scalar()).withColumn(bucket, F.expr(f"{at_most} - 1"))
+    own, before = f"named_struct('b', {bucket}, 'g', false)", f"named_struct('b', pmod({bucket} - 1, size({table})), 'g', true)"
+    placed = placed.withColumn(places, F.expr(f"if({table}[{bucket}] = {key}, array({own}, {before}), array({own}))"))
+    kept = [c(x) for x in df.columns]
+    step = placed.select(*kept, down, tie, F.explode_outer(places).alias(places)).select(*kept, down, tie, F.col(f"{places}.b").alias(bucket), F.col(f"{places}.g").alias(ghost))
+    w = Window.partitionBy(bucket).orderBy(F.col(ghost), F.col(down), F.col(tie))
+    step = step.repartitionById(n, F.col(bucket))
     for x in cols:
         step = step.withColumn(f"next_{x}", F.lead(c(x)).over(w))
-    return step.where(~F.col(ghost)).drop(ident, tie, bucket, ghost)
+    return step.where(~F.col(ghost)).drop(down, tie, bucket, ghost)
 
 
 def op3_imatch(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     own, table, joined = imatch(docs)
-    pairs = with_next(own, "doc_id", ["text", "fingerprint"])
+    pairs = with_next(own, "doc_id", ["text", "fingerprint"], by=["doc_id", "text"])
     pairs = pairs.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
     pairs = pairs.withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars AS INT) - cut), substring(next_text, 1, cut))")).drop("text", "next_text")
     both = fingerprints(pairs, "edited", table, "edited_print", joined)

@@ -204,3 +204,31 @@ def test_neighbours_bear_any_names(spark):
     assert got == {k: f"t{(k - 1) % 50}" for k in range(50)}
     with pytest.raises(TypeError):
         im.with_next(df.withColumn("id", F.col("id").cast("string")), "id", ["text"])
+
+
+def test_neighbours_in_many_buckets(spark, monkeypatch):
+    """One id on half of the rows, null ids, buckets of a few rows: every row has one next row, in one descending circle."""
+    monkeypatch.setattr(im, "BUCKET_BYTES", 20_000)
+    ids = [None if k % 50 == 0 else 7 if k % 2 else k * 37 % 501 - 250 for k in range(2000)]
+    df = spark.createDataFrame([(i, f"t{k}" + "x" * (k % 61)) for k, i in enumerate(ids)], "id long, text string").repartition(5)
+    rows = im.with_next(df, "id", ["text"]).collect()
+    following, of = {r.text: r.next_text for r in rows}, {r.text: r.id for r in rows}
+    assert len(rows) == len(following) == len(set(following.values())) == 2000
+    at, seen = "t0", []
+    for _ in range(2000):
+        seen.append(-1000 if of[at] is None else of[at])
+        at = following[at]
+    assert at == "t0" and sum(a < b for a, b in zip(seen, seen[1:] + seen[:1])) == 1
+
+
+def test_bucket_starts_by_bytes(spark, monkeypatch):
+    """No bucket holds more than its share and one row beyond; long rows stand alone."""
+    monkeypatch.setattr(im, "BUCKET_BYTES", 1000)
+    sizes = [5000 if k % 40 == 0 else 100 for k in range(400)]
+    df = spark.createDataFrame([(k, 0, s) for k, s in enumerate(sizes)], "x long, y long, s long").repartition(3)
+    found, n = im.bucket_starts(df, F.col("s"), ["x", "y"], 1)
+    starts = [r.a for r in found.first().starts]
+    assert n == -(-sum(sizes) // 1000) and starts[0] == 0 and starts == sorted(set(starts)) and len(starts) <= n
+    for a, b in zip(starts, starts[1:] + [400]):
+        assert sum(sizes[a:b]) <= 1000 + max(sizes[a:b])
+    assert im.bucket_starts(df.limit(0), F.col("s"), ["x", "y"], 1)[0].first().starts == []
