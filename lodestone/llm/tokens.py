@@ -1,8 +1,9 @@
 """Token ids by the tokenizers library, with each distinct pre-token encoded once a worker.
 
 Byte-pair encoders treat the matches of their split pattern apart, so the ids of a text are those of its
-matches, one after another. The matches are found by the same pattern, and what the library gives for each is
-remembered."""
+matches, one after another. The matches are found by the same pattern, and what the library's model gives for each
+is remembered. The model is asked directly: a match is normalised and split already, only its bytes have to be
+written as the characters that stand for them."""
 
 from __future__ import annotations
 
@@ -27,6 +28,27 @@ LATIN_1 = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"\p{N}": "0-9²³¹¼-¾",
 _encoders: dict[str, Encoder] = {}
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it is visible, else the next one from U+0100."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in visible else chr(next(others)) for b in range(256)]
+
+
+class Words(dict):
+    """The ids of each word that was met, by the model; at most so many words, then it starts anew."""
+
+    def __init__(self, model, most: int):
+        self.tokenize, self.most, self.character = model.tokenize, most, byte_characters().__getitem__
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        ids = [t.id for t in self.tokenize("".join(map(self.character, word.encode())))]
+        got = self[word] = array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
+        return got
+
+
 def latin_pattern(pattern: str) -> str:
     """The pattern for Latin-1 text, written without classes. It may hold L, N and white space, within brackets or not."""
     import re
@@ -59,8 +81,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         # Pre-tokens are ordinary text; a text that holds a special token's string goes to the library whole.
-        self.tok, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [a["content"] for a in spec.get("added_tokens") or []]
@@ -79,8 +100,7 @@ class Encoder:
         if pattern:
             self.find = regex.compile(pattern).findall
             self.find_latin = re.compile(latin_pattern(pattern)).findall
-        self.words: dict[str, bytes] = {}
-        self.most = WORDS
+        self.words = Words(self.tok.model, WORDS)
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
@@ -93,30 +113,15 @@ class Encoder:
         return self.find(self.normalise(text)) if self.normalise else self.find_latin(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        by_library = lambda some: [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(some, add_special_tokens=False)]
+        by_library = lambda some: [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
         if self.find is None:
             return by_library(texts)
-        known, out, late, missing = self.words, [], [], set()
+        ids, out = self.words.__getitem__, []
         for text in texts:
             if any(a in text for a in self.added):
                 out += by_library([text])
-                continue
-            words = self.split(text)
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                late.append((len(out), words))
-                out.append(b"")
-                missing.update(w for w in words if w not in known)
-        if late:
-            if len(known) + len(missing) > self.most:
-                known.clear()
-                missing = {w for _, words in late for w in words}
-            new = list(missing)
-            for word, got in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                known[word] = array("I", got.ids).tobytes() if LITTLE else np.array(got.ids, "<u4").tobytes()
-            for k, words in late:
-                out[k] = b"".join(map(known.__getitem__, words))
+            else:
+                out.append(b"".join(map(ids, self.split(text))))
         return out
 
 
@@ -128,7 +133,7 @@ def encoder(path: str, words: int = WORDS) -> Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = Encoder(path)
-    _encoders[path].most = words
+    _encoders[path].words.most = words
     return _encoders[path]
 
 

@@ -53,6 +53,18 @@ def test_special_tokens_in_texts_are_the_librarys(name):
         assert [np.frombuffer(x, "<u4").tolist() for x in ENCODERS[name].encode([text, "plain"])] == [library_ids(name, text), library_ids(name, "plain")]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_words_are_the_models_alone_and_bounded(name):
+    """A new word costs one call of the model, without the library's own splitting; no text holds more words than may be remembered."""
+    enc = Encoder(P.path(name))
+    enc.tok = None
+    enc.words.most = 10
+    texts = [" ".join(f"w{k}é漢 x's" for k in range(200)), "", "".join(map(chr, range(1, 0x180))), "a\u0301 \U0001f600\n\n  end "]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [library_ids(name, t) for t in texts]
+        assert 0 < len(enc.words) <= 10
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=TEXT)
 def test_transducer_is_tiktoken(text):
