@@ -42,9 +42,22 @@ CHUNK = 1 << 14
 EDGE = 0  # the symbol beyond a document's ends
 
 WORD = re.compile(r"\w+|[^\w\s]")
+#: The same for text of Latin-1 alone, with its word characters written out: a look-up in a bitmap, not a test of the class.
+LATIN_1 = "".join(map(re.escape, re.findall(r"\w", "".join(map(chr, range(256))))))
+LATIN_WORD = re.compile(rf"[{LATIN_1}]+|[^{LATIN_1}\s]")
 PLACES = (*range(-WINDOW, 0), *range(1, WINDOW + 1))
 
 
+def words_of(text: str) -> list[str]:
+    """The matches of WORD in a text in lower case."""
+    text = text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return WORD.findall(text)
+    return LATIN_WORD.findall(text)
+
+
 def contexts(docs: list[np.ndarray]) -> np.ndarray:
     """(2 * WINDOW, tokens): the symbols at each place around each token of all docs, EDGE beyond a document's ends."""
     edge = np.full(WINDOW, EDGE, np.int32)
@@ -75,9 +88,9 @@ class Net:
     def _hidden(self, ctx: np.ndarray) -> np.ndarray:
         """Hidden values, and a last column of ones for the bias of what follows."""
         h = np.ones((ctx.shape[1], HIDDEN + 1), np.float32)
-        inner = self.around[0][ctx[0]]
+        inner = self.around[0].take(ctx[0], axis=0)
         for k in range(1, len(ctx)):
-            inner += self.around[k][ctx[k]]
+            inner += self.around[k].take(ctx[k], axis=0)
         inner += self.bias
         np.tanh(inner, out=h[:, :HIDDEN])
         return h
@@ -100,57 +113,62 @@ class Net:
     def _run(self, ctx: np.ndarray, target: np.ndarray, learn: bool) -> np.ndarray:
         m, safe = len(target), self._safe()
         order = np.argsort((target // PER).astype(np.uint16), kind="stable")
-        ctx, target = ctx[:, order], target[order]
+        ctx, target = ctx.take(order, axis=1), target.take(order)
         cls = target // PER
-        word, n, share = target - cls * PER, np.arange(m), np.float32(1 / m)
-        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
+        n, edges = np.arange(m), np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        spans = [(k, edges[k], edges[k + 1]) for k in range(CLASSES) if edges[k] < edges[k + 1]]
         h = self._hidden(ctx)
 
         def predicted(z, k):
-            """log-probabilities of k; z becomes the gradient of the loss by the logits."""
+            """(log-probabilities of k, scale); z becomes the gradient of the loss by the logits, but for the scale of its rows."""
             if not safe:
                 z -= z.max(axis=1, keepdims=True)
-            rows = n[: len(z)]
-            own = z[rows, k]
+            flat, at = z.reshape(-1), n * z.shape[1] + k
+            own = flat.take(at)
             np.exp(z, out=z)
-            total = z.sum(axis=1)
-            if learn:
-                z *= (share / total)[:, None]
-                z[rows, k] -= share
-            return own - np.log(total)
-
-        z = h @ self.by_class
-        p = predicted(z, cls)
-        if learn:
-            g_class, g_h = h.T @ z, z @ self.by_class[:HIDDEN].T
-        for k in range(CLASSES):
-            a, b = edges[k], edges[k + 1]
-            if a == b:
-                continue
-            z = h[a:b] @ self.within[k]
-            p[a:b] += predicted(z, word[a:b])
+            total = z @ np.ones(z.shape[1], np.float32)
             if learn:
-                g_h[a:b] += z @ self.within[k, :HIDDEN].T
-                self._step(3, k, h[a:b].T @ z)
+                flat[at] -= total
+            return own - np.log(total), (np.float32(1 / m) / total)[:, None]
+
+        by_class = h @ self.by_class
+        p, scale_class = predicted(by_class, cls)
+        z = np.empty((m, PER), np.float32)
+        for k, a, b in spans:
+            np.matmul(h[a:b], self.within[k], out=z[a:b])
+        more, scale = predicted(z, target - cls * PER)
         out = np.empty(m, np.float32)
-        out[order] = p
+        out[order] = p + more
         if learn:
+            g_h = by_class @ self.by_class[:HIDDEN].T
+            g_h *= scale_class
+            back, scaled, g_within = np.empty((m, HIDDEN), np.float32), h * scale, np.zeros(self.SHAPES[3], np.float32)
+            for k, a, b in spans:
+                np.matmul(z[a:b], self.within[k, :HIDDEN].T, out=back[a:b])
+                np.matmul(scaled[a:b].T, z[a:b], out=g_within[k])
+            back *= scale
+            g_h += back
             inner = h[:, :HIDDEN]
             g_h *= 1 - inner * inner
-            self._step(2, slice(None), g_class)
-            self._step(1, slice(None), g_h.sum(axis=0))
+            self._step(self.within, self.squares[3], g_within)
+            self._step(self.by_class, self.squares[2], (h * scale_class).T @ by_class)
+            self._step(self.bias, self.squares[1], g_h.sum(axis=0))
             for k in range(len(ctx)):
                 order = np.argsort(ctx[k].astype(np.uint16), kind="stable")
-                symbols = ctx[k][order]
+                symbols = ctx[k].take(order)
                 starts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-                self._step(0, (k, symbols[starts]), np.add.reduceat(g_h[order], starts, axis=0))
+                # Pairs of values as complex numbers: half as many to add.
+                g = np.add.reduceat(g_h.take(order, axis=0).view(np.complex64), starts, axis=0).view(np.float32)
+                rows = symbols.take(starts)
+                weights, squares = self.around[k].take(rows, axis=0), self.squares[0][k].take(rows, axis=0)
+                self._step(weights, squares, g)
+                self.around[k][rows], self.squares[0][k][rows] = weights, squares
         return out
 
-    def _step(self, part: int, rows, g: np.ndarray) -> None:
-        view = (self.around, self.bias, self.by_class, self.within)[part]
-        squares = self.squares[part][rows] + g * g
-        self.squares[part][rows] = squares
-        view[rows] -= RATE * g / np.sqrt(squares)
+    @staticmethod
+    def _step(weights: np.ndarray, squares: np.ndarray, g: np.ndarray) -> None:
+        squares += g * g
+        weights -= RATE * g / np.sqrt(squares)
 
 
 def numbered(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
@@ -184,7 +202,7 @@ def numbered(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
             last = batch.num_columns - 1
             types = [batch.column(k).type for k in range(last)]
             for at, texts in slices(batch.column(last)):
-                found = [WORD.findall(t.lower()) for t in texts]
+                found = [words_of(t) for t in texts]
                 ids = [np.fromiter(map(numbers.__getitem__, w), dtype="<u4", count=len(w)) for w in found]
                 more = np.bincount(np.concatenate(ids), minlength=len(numbers))
                 more[: len(counts)] += counts
@@ -222,7 +240,7 @@ def _words(table: DataFrame) -> DataFrame:
 def write_segments(table: DataFrame, words: DataFrame, path: str) -> None:
     """A file for each segment: the symbol of each of its numbers, and the logarithm of the word's share in it."""
     placed = _words(table).select("segment", "at", "word").join(words.select("word", "symbol", "log_share"), "word").select("segment", "at", "symbol", "log_share")
-    placed = placed.repartition(partitions(table.sparkSession), "segment").sortWithinPartitions("segment", "at")
+    placed = placed.repartition(partitions(table.sparkSession), "segment").sortWithinPartitions("segment")  # one whole number: a radix sort; numbers are put in their places below
 
     def write(batches):
         import pyarrow as pa
@@ -230,19 +248,21 @@ def write_segments(table: DataFrame, words: DataFrame, path: str) -> None:
         key, held = None, []
 
         def flush():
-            symbols, shares = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            put(f"{path}/{key}.seg", symbols.astype("<u2").tobytes() + shares.astype("<f4").tobytes())
+            at, of_each, shares_of_each = (np.concatenate([x[k] for x in held]) for k in range(3))
+            symbols, shares = np.empty(len(at), "<u2"), np.empty(len(at), "<f4")
+            symbols[at], shares[at] = of_each, shares_of_each
+            put(f"{path}/{key}.seg", symbols.tobytes() + shares.tobytes())
             return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([len(symbols)], pa.int64())], names=["segment", "words"])
 
         for batch in batches:
-            of, symbols, shares = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            of, *columns = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             edges = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)] if len(of) else np.zeros(0, int)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if held and int(of[a]) != key:
                     yield flush()
                     held = []
                 key = int(of[a])
-                held.append((symbols[a:b], shares[a:b]))
+                held.append([x[a:b] for x in columns])
         if held:
             yield flush()
 
@@ -287,7 +307,7 @@ def train_on(table: DataFrame, path: str, turn: int, start: np.ndarray) -> np.nd
             order = rng.permutation(len(y))
             for s in range(0, len(y), step):
                 own = order[s : s + step]
-                net.train(x[:, own], y[own])
+                net.train(x.take(own, axis=1), y.take(own))
             seen += len(y)
             docs, have = [], 0
 

@@ -143,6 +143,20 @@ def test_a_step_is_the_gradient_by_differences(monkeypatch):
     assert not moved[lm.SYMBOLS * lm.HIDDEN - lm.HIDDEN : lm.SYMBOLS * lm.HIDDEN].any()  # a symbol that isn't used
 
 
+def test_a_step_goes_over_its_tokens_at_once(monkeypatch):
+    """Whatever the number of classes, the logits of a step are taken through exp() twice: classes, and symbols within them."""
+    rnd, calls, exp = np.random.default_rng(5), [], np.exp
+    monkeypatch.setattr(lm.np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+    lm.Net().train(rnd.integers(0, lm.SYMBOLS, (2 * lm.WINDOW, 1024)), rnd.integers(0, lm.SYMBOLS, 1024))
+    assert len(calls) == 2
+
+
+def test_words_of_is_the_pattern():
+    latin = "".join(map(chr, range(256)))
+    for text in (latin, "".join(f"a{x}b {x}" for x in latin), "ÀÉ_x9 ²³¹¼ \xad\x85\x1c", "İΣ 漢字 é! e\u0301", ""):
+        assert lm.words_of(text) == lm.WORD.findall(text.lower())
+
+
 def test_contexts():
     docs = [np.array([5, 6, 7], np.int32), np.array([8], np.int32)]
     assert lm.contexts(docs).tolist() == [[0, 0, 5, 0], [0, 5, 6, 0], [6, 7, 0, 0], [7, 0, 0, 0]]
