@@ -9,12 +9,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import cosine_distance, l2_distance, negative_inner_product
 
 DISTANCES = {"l2": l2_distance, "cosine": cosine_distance, "ip": negative_inner_product}
 #: Rows that the centroids are fitted on.
 SAMPLE = 100_000
+#: knn_join: bytes of vectors in a group of queries, and in a block of rows where there are partitions enough.
+GROUP_BYTES, BLOCK_BYTES = 32 << 20, 2 << 20
 
 
 def knn(df: DataFrame, vector_col: str, query: list[float], k: int, metric: str = "l2", key: str | None = None, nulls_first: bool = False) -> DataFrame:
@@ -26,11 +29,34 @@ def knn(df: DataFrame, vector_col: str, query: list[float], k: int, metric: str
 
 
 def knn_join(queries: DataFrame, df: DataFrame, query_key: str, query_col: str, key: str, vector_col: str, k: int, metric: str = "l2") -> DataFrame:
-    """For each row of queries (a stated set, sent to all tasks) the k nearest rows of df: query_key, key, distance,
-    rank. Row numbers are limited within tasks before the exchange."""
-    q = queries.select(F.col(query_key).alias("_qk"), F.col(query_col).alias("_qv"))
-    pairs = df.select(F.col(key).alias("_k"), F.col(vector_col).alias("_v")).join(F.broadcast(q), F.lit(True))
-    ranked = pairs.withColumn("distance", DISTANCES[metric](F.col("_v"), F.col("_qv"))).select("_qk", "_k", "distance")
+    """For each row of queries the k nearest rows of df: query_key, key, distance, rank; ties by key, rows without a
+    distance last.
+
+    All pairs are met, as exact neighbours of vectors of many dimensions ask for: groups of queries that fit
+    GROUP_BYTES times blocks of rows, a task each. A task holds its group and streams its block, pairs are met by
+    products of matrices (nearest.py), and only what can be among a query's k nearest leaves a task. Each row is sent
+    once a group, each query once a block; blocks are as many as rows have BLOCK_BYTES by Spark's estimate, and at
+    most the shuffle partitions."""
+    from .nearest import search
+
+    DISTANCES[metric]
+    q = queries.select(F.col(query_key).alias("_qk"), F.col(query_col).alias("_v"))
+    rows = df.select(F.col(key).alias("_k"), F.col(vector_col).alias("_v"))
+    if {dict(x.dtypes)["_v"] for x in (q, rows)} != {"array<float>"}:
+        q, rows = (x.withColumn("_v", F.col("_v").cast("array<double>")) for x in (q, rows))
+    many, longest = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("_v")), F.lit(0))).first()
+    groups = max(1, -(-many * 8 * max(longest, 1) // GROUP_BYTES))
+    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    blocks = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimate // BLOCK_BYTES)))
+    null = lambda x, name: F.lit(None).cast(x.schema[name].dataType).alias(name)
+    of = lambda name, n: F.pmod(F.xxhash64(name, "_v"), F.lit(n)).cast("int")
+    group, block = of("_qk", groups), of("_k", blocks) * groups
+    met = q.select(F.explode(F.sequence(group, group + (blocks - 1) * groups, F.lit(groups))).alias("_cell"), F.lit(0).alias("_side"), "_qk", null(rows, "_k"), "_v")
+    met = met.union(rows.select(F.explode(F.sequence(block, block + (groups - 1))).alias("_cell"), F.lit(1).alias("_side"), null(q, "_qk"), "_k", "_v"))
+    met = met.repartitionById(blocks * groups, F.col("_cell")).sortWithinPartitions("_cell", "_side", "_k")
+    kinds = T.StructType([T.StructField("_qk", q.schema["_qk"].dataType), T.StructField("_k", rows.schema["_k"].dataType), T.StructField("distance", T.DoubleType())])
+    most = max(k, 1)
+    ranked = met.mapInArrow(lambda batches: search(batches, most, metric), kinds)
     w = Window.partitionBy("_qk").orderBy(F.col("distance").asc_nulls_last(), "_k")
     return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("_qk").alias(query_key), F.col("_k").alias(key), "distance", "rank")
 
